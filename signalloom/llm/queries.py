@@ -11,10 +11,11 @@ from signalloom.llm.decontaminate import op5_decontaminate
 from signalloom.llm.line_dedup import SQL as LINE_SQL
 from signalloom.llm.line_dedup import op9_line_dedup
 from signalloom.llm.media import op4_media
+from signalloom.llm.substring_dedup import op6_substring_dedup
 from signalloom.llm.token_counts import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_bpe, op4_media, op5_decontaminate, op7_token_counts, op9_line_dedup)
+    f.__name__: f for f in (op3_bpe, op4_media, op5_decontaminate, op6_substring_dedup, op7_token_counts, op9_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL}
