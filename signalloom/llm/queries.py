@@ -13,10 +13,11 @@ from signalloom.llm.line_dedup import op9_line_dedup
 from signalloom.llm.media import op4_media
 from signalloom.llm.minhash import op8_minhash
 from signalloom.llm.substring_dedup import op6_substring_dedup
+from signalloom.llm.suffix_dedup import op10_suffix_dedup
 from signalloom.llm.token_counts import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_bpe, op4_media, op5_decontaminate, op6_substring_dedup, op7_token_counts, op8_minhash, op9_line_dedup)
+    f.__name__: f for f in (op3_bpe, op4_media, op5_decontaminate, op6_substring_dedup, op7_token_counts, op8_minhash, op9_line_dedup, op10_suffix_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL}
