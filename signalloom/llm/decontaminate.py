@@ -96,6 +96,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def runs(text: pa.Array, limit: int = 4_000_000) -> Iterator[list[str | None]]:
+    """The texts in runs of about so many characters, one text at least."""
+    run, size = [], 0
+    for value in text:
+        value = value.as_py()
+        run.append(value)
+        size += len(value or "")
+        if size >= limit:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def item_blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str | None]]]:
     """Items in blocks of at most ``limit`` bytes of text (one item at least), streamed through the driver.
 
@@ -141,19 +155,24 @@ def search(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [words(t) for t in batch.column("text").to_pylist()]
-            spans: list[list] = [[] for _ in rows]
-            items: list[set] = [set() for _ in rows]
-            for k in range(len(sent)):
-                for i, row in enumerate(rows):
-                    found, names = hits(row, tables(k))
-                    if found:
-                        spans[i] = merged(spans[i] + found)
-                        items[i] |= names
+            n_words, spans, items = [], [], []
+            for part in runs(batch.column("text")):
+                rows = [words(t) for t in part]
+                found: list[list] = [[] for _ in rows]
+                names: list[set] = [set() for _ in rows]
+                for k in range(len(sent)):
+                    for i, row in enumerate(rows):
+                        more, which = hits(row, tables(k))
+                        if more:
+                            found[i] = merged(found[i] + more)
+                            names[i] |= which
+                n_words += map(len, rows)
+                spans += found
+                items += names
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id")]
                 + [
-                    pa.array([len(r) for r in rows], pa.int64()),
+                    pa.array(n_words, pa.int64()),
                     pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
                     pa.array([sorted(i) for i in items], pa.list_(pa.string())),
                     pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
