@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("signals", "joins", "corpus")
+MODULES = ("signals", "joins", "corpus", "cohorts")
 
 QUERIES, SQL = {}, {}
 for _name in MODULES:
