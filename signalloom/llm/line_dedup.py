@@ -102,12 +102,15 @@ class LineRuns:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def totals(self) -> DataFrame:
-        """a, b, n_docs, last_doc over all batches."""
+        """a, b, n_docs, last_doc over all batches.
+
+        Dealt anew by key: Spark takes a union of equally bucketed tables as dealt already, but its columnar form is not.
+        """
         parts = self.runs() + [self.spark.table(name) for name in self.tallies]
         whole = parts[0]
         for part in parts[1:]:
             whole = whole.unionByName(part)
-        return whole.groupBy("a", "b").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        return whole.repartition("a", "b").groupBy("a", "b").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
 
 def dedup_lines(
