@@ -2,9 +2,9 @@
 
 A document is the set of the hashes of its terms. The score is the logistic of a bias, a weight for each term and, for
 each pair of terms, the inner product of their factors, so that two terms can weigh together what neither does alone.
-Terms that fewer than LEAST_ROWS training rows hold carry no weight. Training on a bounded
-sample of labelled rows first chooses terms, by dual averaging with a penalty on absolute weights, then fits weights and
-factors of these by AdaGrad.
+Terms that fewer than LEAST_ROWS training rows hold, or that are as frequent in either label as chance has it, carry no
+weight. Training on a bounded sample of labelled rows first chooses terms, by dual averaging with a penalty on absolute
+weights, then fits weights and factors of these by AdaGrad.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ FACTORS = 4
 EPOCHS, STEPS, RATE, DECAY = 6, 150, 0.5, 3e-5
 #: A term's mean gradient must exceed this for a weight: so many more rows of one label than expected, in a share of all.
 SPARSE = 0.001
+#: Terms whose number of toxic rows is within so many standard deviations of what chance gives carry no weight.
+SCREEN = 2.0
 
 _FOLD = np.full(256, 32, np.uint8)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
@@ -152,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Machin
     term = lists.flatten().to_numpy()
     row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
     values, count = np.unique(term, return_counts=True)
-    machine = Machine(values[count >= LEAST_ROWS])
+    p = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
+    excess = np.bincount(np.searchsorted(values, term), y[row], len(values)) - p * count
+    machine = Machine(values[(count >= LEAST_ROWS) & (np.abs(excess) >= SCREEN * np.sqrt(p * (1 - p) * count))])
     keep, at = machine.places(term)
     machine.fit(row[keep], at, y)
     return machine
