@@ -3,9 +3,13 @@
 Documents of equal shingle sets form a class, represented by its smallest id; only representatives are compared. A
 signature holds both ends of PERMUTATIONS permutations, so 64 evaluations of a hash fill 128 places, and 32 bands of 4
 places make two sets of similarity 0.8 miss each other with probability 5e-8. In each bucket of a band the smallest id
-is compared with all others on full sets; the components this leaves in one bucket are then compared with each other,
-where the signatures do not rule it out, so no link between components that share a bucket stays unseen. Pairs within a component need
-no comparison and are never made.
+is compared with all others on full sets. Pairs within a component need no comparison and are never made.
+
+What components share a bucket after that could still hold links, and their pairs are not made either unless exact
+bounds leave them open. A pair shares a rare shingle, which RARE or fewer of these documents hold, or it does not. The
+former are listed from the rare shingles, less than RARE for each. The latter have all they share in their cores, the
+shingles that are not rare, so a core bounds how large a partner can be: documents whose bound rules out every other
+component of a bucket leave it, and the rest meet only where both bounds allow.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ BANDS = PLACES // ROWS
 #: Estimates have a standard deviation of at most 0.045; a pair of similarity 0.8 seems less alike than this with probability 1e-6.
 UNLIKE = 0.6
 PERCENT = 80
+#: A shingle that so many of the documents compared hold, or fewer, is rare.
+RARE = 8
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -103,21 +109,20 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     return shared.slim(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sign binary")
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and the whole set, as an array of 64-bit hashes."""
+def full_sets(docs: DataFrame, size: int, carry: str | None = None) -> DataFrame:
+    """doc_id, the long column ``carry`` if named, and the whole set, as an array of 64-bit hashes."""
+    names = ["doc_id"] + [carry] * bool(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, ids = 0, batch.column("doc_id")
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 sets = [s.view(np.int64) for _, s in shingle_sets(part.column("text"), size)]
                 off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 values = pa.array(np.concatenate(sets))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.ListArray.from_arrays(pa.array(off), values)], names=["doc_id", "shingles"])
-                at += len(part)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(pa.array(off), values)], names=[*names, "shingles"])
 
-    return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.select(*names, "text").mapInArrow(run, "".join(f"{c} bigint, " for c in names) + "shingles array<bigint>")
 
 
 def band_keys(sign: Column) -> Column:
@@ -146,6 +151,40 @@ def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     return judged.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def open_pairs(texts: DataFrame, classes: DataFrame, left: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of representatives of different labels in ``left`` (key, id, label) that exact bounds do not rule out.
+
+    Of s shingles, c of them in the core, at most c are shared with a partner of t shingles, and a link needs at least
+    percent * (s + t) / (100 + percent); so t is c * (100 + percent) / percent - s at most.
+    """
+    labels = left.select("id", "label").distinct()
+    own = full_sets(texts.join(labels.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "label", "text"), size, "label")
+    held = shared.cut(own.select(F.col("doc_id").alias("id"), "label", F.explode("shingles").alias("s")))
+    rare = shared.cut(held.join(held.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") <= RARE), "s"))
+    groups = rare.where("n > 1").groupBy("s").agg(F.collect_list(F.struct("id", "label")).alias("m"))
+    other = lambda x: F.filter("m", lambda y: (x["id"] < y["id"]) & (x["label"] != y["label"]))
+    both = F.flatten(F.transform("m", lambda x: F.transform(other(x), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    by_rare = groups.select(F.explode(both).alias("p")).select("p.a", "p.b").distinct()
+
+    counts = rare.groupBy("id").agg(F.count("*").alias("r"))
+    bounds = classes.join(labels, "id").join(counts, "id", "left").select("id", "sign", F.col("n").alias("size"), (F.col("n") - F.coalesce("r", F.lit(0))).alias("core"))
+    bounds = bounds.withColumn("most", F.floor(F.col("core") * F.lit(100 + percent) / F.lit(percent) + F.lit(1e-9)) - F.col("size"))
+    rows = left.join(bounds.drop("core", "sign"), "id")
+    per_label = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("size").alias("lo"), F.max("most").alias("hi"))
+    bucket = per_label.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rows = shared.cut(rows.join(bucket, "key").where("most >= lo and size <= hi").drop("lo", "hi"))
+    few = rows.where("label <> main")
+    extent = few.groupBy("key").agg(F.min("size").alias("lo"), F.max("most").alias("hi"))
+    many = rows.join(extent, "key").where("most >= lo and size <= hi")
+    keys = bounds.select("id", band_keys(F.col("sign")).alias("keys"))
+    x = few.join(keys, "id").select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("most").alias("ma"), F.col("keys").alias("ka"))
+    y = many.join(keys, "id").select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("most").alias("mb"), F.col("keys").alias("kb"), (F.col("label") == F.col("main")).alias("first"))
+    once = F.array_intersect("ka", "kb")[0] == F.col("key")  # a pair counts in the first bucket it shares
+    meet = (F.col("la") != F.col("lb")) & (F.col("first") | (F.col("a") < F.col("b"))) & (F.col("na") <= F.col("mb")) & (F.col("nb") <= F.col("ma"))
+    by_size = x.withColumnRenamed("key", "kx").join(y, (F.col("kx") == F.col("key")) & meet & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return by_rare.union(by_size).distinct()
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id, component_id, kept.
 
@@ -157,7 +196,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
     """
     rows = shared.slim(docs, "doc_id", "text")
     known = shared.cut(signed(rows, size))
-    classes = known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sign").alias("sign"))
+    classes = known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n"))
     classes = shared.cut(classes)
     banded = classes.select("id", F.explode(band_keys(F.col("sign"))).alias("key"))
     full = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
@@ -171,9 +210,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     left = shared.cut(placed.join(mixed, "key"))
     if not left.isEmpty():
-        x = left.select("key", F.col("id").alias("a"), F.col("label").alias("la"))
-        y = left.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-        rest = x.join(y, "key").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+        rest = open_pairs(texts, classes, left, size, percent).join(stars, ["a", "b"], "left_anti")
         sign = classes.select(F.col("id"), "sign")
         rest = rest.join(sign.select(F.col("id").alias("a"), F.col("sign").alias("ga")), "a").join(sign.select(F.col("id").alias("b"), F.col("sign").alias("gb")), "b")
         rest = shared.cut(rest.where(agreement(F.col("ga"), F.col("gb")) >= UNLIKE).select("a", "b"))

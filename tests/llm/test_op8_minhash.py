@@ -30,6 +30,24 @@ def test_chains_of_near_copies(spark):
     assert rows_of(minhash.near_groups(frame(spark, docs), 4), *NAMES) == sorted(minhash.brute(docs), key=repr)
 
 
+def test_a_large_group_of_variants_with_outliers(spark, monkeypatch):
+    """Random edits of one text: most link with its smallest id, others with each other only, others with none."""
+    rng = random.Random(12)
+    base = [f"b{rng.randrange(400)}" for _ in range(150)]
+    docs = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.randrange(14)):
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([[], [f"e{rng.randrange(30)}"], [words[k], f"e{rng.randrange(30)}"]])
+        docs.append((i, " ".join(words)))
+    want = sorted(minhash.brute(docs), key=repr)
+    assert 2 < len({w[2] for w in want}) < 150
+    assert rows_of(minhash.near_groups(frame(spark, docs), 4), *NAMES) == want
+    monkeypatch.setattr(minhash, "RARE", 1)
+    assert rows_of(minhash.near_groups(frame(spark, docs), 4), *NAMES) == want
+
+
 def test_rows_without_id_are_kept(spark):
     found = minhash.near_groups(frame(spark, [(None, "a b c d e f g"), (1, "a b c d e f g"), (None, None)])).collect()
     assert all(r["kept"] for r in found) and len(found) == 3
