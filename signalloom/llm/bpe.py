@@ -15,16 +15,18 @@ from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from signalloom.llm import shared
+from signalloom.llm.decontaminate import runs
 
 #: The split of byte-level BPE into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Encodings of so many pieces stay in memory, twice over.
-CACHED_PIECES = 200_000
+#: Encodings of so many pieces stay in memory, twice over, and so many answers on pairs.
+CACHED_PIECES, CACHED_PAIRS = 40_000, 100_000
 
 
 def default_tokenizer() -> str:
@@ -81,7 +83,7 @@ class Encoder(dict):
     def compatible(self, a: int, b: int) -> bool:
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > CACHED_PAIRS:
                 self.fits.clear()
             known = self.fits[a, b] = self._compatible(a, b)
         return known
@@ -170,24 +172,27 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
         coder = encoder(path)
         sha = hashlib.sha256
         for batch in batches:
-            n, a, b, all_ids, decoded = [], [], [], [], []
-            for text in batch.column("text"):
-                ids = coder.encode(text.as_py() or "")
-                back = coder.decode(ids)
-                n.append(len(ids))
-                a.append(sha(",".join(map(coder.text.__getitem__, ids)).encode()).hexdigest())
-                b.append(sha(back.encode()).hexdigest())
+            at = 0
+            for part in runs(batch.column("text"), 2_000_000):
+                n, a, b, all_ids, decoded = [], [], [], [], []
+                for text in part:
+                    ids = coder.encode(text or "")
+                    back = coder.decode(ids)
+                    n.append(len(ids))
+                    a.append(sha(",".join(map(coder.text.__getitem__, ids)).encode()).hexdigest())
+                    b.append(sha(back.encode()).hexdigest())
+                    if with_ids:
+                        all_ids.append(np.array(ids, np.int32))
+                        decoded.append(back)
+                columns = [batch.column("doc_id").slice(at, len(part)), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    all_ids.append(ids)
-                    decoded.append(back)
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return shared.slim(docs, "doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""))
+                    columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                at += len(part)
+
+    return shared.slim(docs, "doc_id", "text").mapInArrow(shared.tidy(run), SCHEMA + (", ids array<int>, decoded string" if with_ids else ""))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

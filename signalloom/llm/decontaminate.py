@@ -184,7 +184,7 @@ def search(
     kinds = dict(docs.dtypes)
     more = "".join(f", `{c}` {kinds[c]}" for c in carry)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c) for c in carry if c != "text"))
-    return source.mapInArrow(run, SCHEMA + more)
+    return source.mapInArrow(shared.tidy(run), SCHEMA + more)
 
 
 def contaminated():

@@ -138,7 +138,7 @@ def train(docs: DataFrame, limit: int = TRAIN_ROWS) -> Model | None:
                 values = pa.array([v.tobytes() for v in x], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, len(x)), values], names=["lang", "x"])
 
-    found = rows.join(F.broadcast(ids), "doc_id").select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
+    found = rows.join(F.broadcast(ids), "doc_id").select("lang", "text").mapInArrow(shared.tidy(run), "lang string, x binary").toArrow()
     langs = found["lang"].to_pylist()[: 2 * limit]
     if not langs:
         return None
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ()) -
 
     kinds = dict(docs.dtypes)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c) for c in carry if c != "text"))
-    return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double" + "".join(f", `{c}` {kinds[c]}" for c in carry))
+    return rows.mapInArrow(shared.tidy(run), "doc_id bigint, lang_pred string, score double" + "".join(f", `{c}` {kinds[c]}" for c in carry))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

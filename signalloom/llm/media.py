@@ -163,7 +163,7 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["digest", "shard", "offset", "length"])
         writer.close()
 
-    written = shared.cut(shared.slim(docs, "text").mapInArrow(run, "digest string, shard string, offset bigint, length bigint"))
+    written = shared.cut(shared.slim(docs, "text").mapInArrow(shared.tidy(run), "digest string, shard string, offset bigint, length bigint"))
     return written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
 
 
@@ -178,7 +178,7 @@ def read_headers(index: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=["digest", "shard", "offset", "length", "width", "height", "bits"])
 
     ordered = index.select("digest", "shard", "offset", "length")
-    return ordered.mapInArrow(run, "digest string, shard string, offset bigint, length bigint, width bigint, height bigint, bits bigint")
+    return ordered.mapInArrow(shared.tidy(run), "digest string, shard string, offset bigint, length bigint, width bigint, height bigint, bits bigint")
 
 
 def read_features(index: DataFrame, folder: str) -> DataFrame:
@@ -198,7 +198,7 @@ def read_features(index: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names[:6]] + more, names=names)
 
     schema = "digest string, shard string, offset bigint, length bigint, width bigint, height bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return index.select(*names[:6]).mapInArrow(run, schema)
+    return index.select(*names[:6]).mapInArrow(shared.tidy(run), schema)
 
 
 def attach(docs: DataFrame, folder: str) -> DataFrame:

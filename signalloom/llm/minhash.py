@@ -28,8 +28,6 @@ from signalloom.llm.components import components
 PERMUTATIONS, ROWS = 64, 4
 PLACES = 2 * PERMUTATIONS
 BANDS = PLACES // ROWS
-#: Estimates have a standard deviation of at most 0.045; a pair of similarity 0.8 seems less alike than this with probability 1e-6.
-UNLIKE = 0.6
 PERCENT = 80
 #: A shingle that so many of the documents compared hold, or fewer, is rare.
 RARE = 8
@@ -106,12 +104,11 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "digest", "sign"],
             )
 
-    return shared.slim(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sign binary")
+    return shared.slim(docs, "doc_id", "text").mapInArrow(shared.tidy(run), "doc_id bigint, n_shingles bigint, digest binary, sign binary")
 
 
-def full_sets(docs: DataFrame, size: int, carry: str | None = None) -> DataFrame:
-    """doc_id, the long column ``carry`` if named, and the whole set, as an array of 64-bit hashes."""
-    names = ["doc_id"] + [carry] * bool(carry)
+def full_sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id and the whole set, as an array of 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +117,9 @@ def full_sets(docs: DataFrame, size: int, carry: str | None = None) -> DataFrame
                 sets = [s.view(np.int64) for _, s in shingle_sets(part.column("text"), size)]
                 off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 values = pa.array(np.concatenate(sets))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(pa.array(off), values)], names=[*names, "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(off), values)], names=["doc_id", "shingles"])
 
-    return docs.select(*names, "text").mapInArrow(run, "".join(f"{c} bigint, " for c in names) + "shingles array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(shared.tidy(run), "doc_id bigint, shingles array<bigint>")
 
 
 def band_keys(sign: Column) -> Column:
@@ -130,36 +127,25 @@ def band_keys(sign: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(j), F.substring(sign, j * width + 1, width)) for j in range(BANDS)])
 
 
-def agreement(a: Column, b: Column) -> Column:
-    """Share of equal places of two signatures: the similarity, estimated without bias."""
-    equal = [F.when(F.substring(a, 4 * j + 1, 4) == F.substring(b, 4 * j + 1, 4), 1).otherwise(0) for j in range(PLACES)]
-    total = equal[0]
-    for x in equal[1:]:
-        total = total + x
-    return total / F.lit(PLACES)
-
-
-def linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose full sets are alike enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = full_sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), size)
+def linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose full sets are alike enough. Merge joins: the plan is one at every size."""
     left = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    both = pairs.join(left, "b").join(right, "a")
+    both = pairs.hint("merge").join(left, "b").hint("merge").join(right, "a")
     shared_part = F.size(F.array_intersect("sa", "sb"))
     judged = both.select("a", "b", shared_part.alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
     return judged.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def open_pairs(texts: DataFrame, classes: DataFrame, left: DataFrame, size: int, percent: int) -> DataFrame:
+def open_pairs(sets: DataFrame, classes: DataFrame, left: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of representatives of different labels in ``left`` (key, id, label) that exact bounds do not rule out.
 
     Of s shingles, c of them in the core, at most c are shared with a partner of t shingles, and a link needs at least
     percent * (s + t) / (100 + percent); so t is c * (100 + percent) / percent - s at most.
     """
     labels = left.select("id", "label").distinct()
-    own = full_sets(texts.join(labels.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "label", "text"), size, "label")
-    held = shared.cut(own.select(F.col("doc_id").alias("id"), "label", F.explode("shingles").alias("s")))
+    own = sets.withColumnRenamed("doc_id", "id").join(labels.hint("merge"), "id")
+    held = shared.cut(own.select("id", "label", F.explode("shingles").alias("s")))
     rare = shared.cut(held.join(held.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") <= RARE), "s"))
     groups = rare.where("n > 1").groupBy("s").agg(F.collect_list(F.struct("id", "label")).alias("m"))
     other = lambda x: F.filter("m", lambda y: (x["id"] < y["id"]) & (x["label"] != y["label"]))
@@ -201,21 +187,20 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
     banded = classes.select("id", F.explode(band_keys(F.col("sign"))).alias("key"))
     full = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
     members = shared.cut(banded.join(full, "key"))
-    texts = rows
+    compared = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = shared.cut(full_sets(rows.join(compared.hint("merge"), "doc_id", "left_semi"), size))
     stars = shared.cut(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    links = shared.cut(linked(texts, stars, size, percent))
+    links = shared.cut(linked(sets, stars, percent))
     labels = components(links)
     # components that share a bucket: only these members can hold links not seen so far
     placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     left = shared.cut(placed.join(mixed, "key"))
     if not left.isEmpty():
-        rest = open_pairs(texts, classes, left, size, percent).join(stars, ["a", "b"], "left_anti")
-        sign = classes.select(F.col("id"), "sign")
-        rest = rest.join(sign.select(F.col("id").alias("a"), F.col("sign").alias("ga")), "a").join(sign.select(F.col("id").alias("b"), F.col("sign").alias("gb")), "b")
-        rest = shared.cut(rest.where(agreement(F.col("ga"), F.col("gb")) >= UNLIKE).select("a", "b"))
-        if not rest.isEmpty():
-            labels = components(links.union(linked(texts, rest, size, percent)))
+        rest = open_pairs(sets, classes, left, percent).join(stars, ["a", "b"], "left_anti")
+        more = shared.cut(linked(sets, rest, percent))
+        if not more.isEmpty():
+            labels = components(links.union(more))
     grouped = classes.select("digest", F.col("id").alias("class_id")).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     grouped = grouped.select("digest", "class_id", F.coalesce("label", "class_id").alias("component"))
     out = known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(grouped, "digest", "left")

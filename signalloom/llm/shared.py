@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,16 @@ def slim(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, under these names, whatever else ``docs`` carries. Ids become longs, texts strings."""
     kind = {"doc_id": "bigint"}
     return docs.select(*(F.col(n).cast(kind.get(n, "string")).alias(n) for n in names))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, but what it freed goes back to the machine when a task ends: workers are kept for other stages."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return kept

@@ -120,7 +120,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
             n = [count.text(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return shared.slim(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return shared.slim(docs, "doc_id", "text").mapInArrow(shared.tidy(run), "doc_id bigint, n_tokens bigint")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

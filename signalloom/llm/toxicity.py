@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Machin
                     names=["doc_id", "toxic", "terms"],
                 )
 
-    found = rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id bigint, toxic int, terms array<bigint>").toArrow().sort_by("doc_id")
+    found = rows.select("doc_id", "toxic", "text").mapInArrow(shared.tidy(run), "doc_id bigint, toxic int, terms array<bigint>").toArrow().sort_by("doc_id")
     y = found["toxic"].to_numpy().astype(float)
     lists = found["terms"].combine_chunks()
     term = lists.flatten().to_numpy()
@@ -176,7 +176,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             p = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return shared.slim(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return shared.slim(docs, "doc_id", "text").mapInArrow(shared.tidy(run), "doc_id bigint, score double, predicted int")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
