@@ -26,3 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
         if after.where("moved").isEmpty():
             return after.select("id", "label")
         labels = after.select("id", "label")
+
+
+def extended(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The (id, label) table after further edges: components of the labels these join, so settled edges are not walked again."""
+    la, lb = (labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    between = more.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    over = components(between)
+    old = labels.join(over.select(F.col("id").alias("label"), F.col("label").alias("over")), "label", "left").select("id", F.coalesce("over", "label").alias("label"))
+    return old.unionByName(over.join(labels.select("id"), "id", "left_anti").select("id", "label"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import kernels, shared
-from signalloom.llm.components import components
+from signalloom.llm.components import components, extended
 
 PERMUTATIONS, ROWS = 64, 4
 PLACES = 2 * PERMUTATIONS
@@ -200,7 +200,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
         rest = open_pairs(sets, classes, left, percent).join(stars, ["a", "b"], "left_anti")
         more = shared.cut(linked(sets, rest, percent))
         if not more.isEmpty():
-            labels = components(links.union(more))
+            labels = extended(labels, more)
     grouped = classes.select("digest", F.col("id").alias("class_id")).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     grouped = grouped.select("digest", "class_id", F.coalesce("label", "class_id").alias("component"))
     out = known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(grouped, "digest", "left")

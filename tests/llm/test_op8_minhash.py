@@ -5,7 +5,7 @@ from conftest import SMALL
 from llm.conftest import frame, rows_of
 
 from signalloom.llm import minhash
-from signalloom.llm.components import components
+from signalloom.llm.components import components, extended
 
 NAMES = ("doc_id", "n_shingles", "component_id", "kept")
 
@@ -63,6 +63,12 @@ def test_components(spark):
     assert found == {i: i // 20 * 20 for i in range(61) if i != 60} | ({60: 60} if 60 in found else {})
 
 
+def test_further_edges(spark):
+    edges = lambda x: spark.createDataFrame(x, "a bigint, b bigint")
+    found = extended(components(edges([(1, 2), (3, 4), (5, 6)])), edges([(4, 6), (6, 9), (8, 7)]))
+    assert dict(map(tuple, found.collect())) == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 9: 3, 7: 7, 8: 7}
+
+
 def test_min_and_max_of_one_permutation_are_unbiased():
     import numpy as np
 
