@@ -26,7 +26,7 @@ from signalloom.llm.decontaminate import runs
 #: The split of byte-level BPE into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Encodings of so many pieces stay in memory, twice over, and so many answers on pairs.
-CACHED_PIECES, CACHED_PAIRS = 40_000, 100_000
+CACHED_PIECES, CACHED_PAIRS = 100_000, 400_000
 
 
 def default_tokenizer() -> str:
@@ -77,15 +77,14 @@ class Encoder(dict):
             self.automaton.add_word(self.token[i].decode("latin-1"), (i, len(self.token[i])))
         self.automaton.make_automaton()
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.size = size
+        self.fits: dict[int, bool] = {}  # by a * size + b
         self.old: dict[str, tuple[int, ...]] = {}
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.fits.get((a, b))
-        if known is None:
-            if len(self.fits) > CACHED_PAIRS:
-                self.fits.clear()
-            known = self.fits[a, b] = self._compatible(a, b)
+        if len(self.fits) > CACHED_PAIRS:
+            self.fits.clear()
+        known = self.fits[a * self.size + b] = self._compatible(a, b)
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -111,12 +110,17 @@ class Encoder(dict):
         data = piece.encode("utf-8").decode("latin-1")
         n = len(data)
         last, size = [-1] * (n + 1), [0] * (n + 1)
+        fits, width = self.fits.get, self.size
         for end, (token, length) in self.automaton.iter(data):
             end += 1
             if last[end] < 0:
                 start = end - length
-                if not start or self.compatible(last[start], token):
-                    last[end], size[end] = token, length
+                if start:
+                    before = last[start]
+                    fit = fits(before * width + token)
+                    if not (self.compatible(before, token) if fit is None else fit):
+                        continue
+                last[end], size[end] = token, length
         out = []
         while n:
             out.append(last[n])

@@ -51,7 +51,12 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return kept
+
+
+def give_back() -> None:
+    """Return freed memory to the machine."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)

@@ -4,7 +4,7 @@
    strings have equal anchors at equal places. A run is a maximal stretch of starts with one anchor; its bytes hold all
    its strings. Which anchors occur again is counted over buckets of the hash space (see ``ranges``).
 2. Suffix arrays. The runs of anchors that occur again go, by anchor, to buckets; equal runs go once for each group,
-   with their number. A bucket's suffix array over its runs is built by rank doubling to LENGTH bytes. Intervals of
+   with their number. Suffix arrays over the runs of some anchors at a time are built by rank doubling to LENGTH bytes. Intervals of
    common prefixes that all continue one common byte to their left belong to a longer repeat and go as a whole; the
    others are sorted to their ends and a stack scan over their common-prefix lengths builds the interval tree. Each
    interval whose occurrences differ to their left is a maximal repeat group (within runs), with all its occurrences.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ LENGTH = 200
 GRAM = 24
 #: Bytes of text for each bucket of suffix arrays.
 ARRAY_BYTES = 6_000_000
+#: Bytes of runs that one suffix array takes; the runs of one anchor stay together, whatever their size.
+CHUNK_BYTES = 600_000
 U64 = np.uint64
 
 
@@ -173,16 +176,29 @@ def covered(runs: list[bytes], anchor: list[int], number: list[int], least: int)
     alike: dict[int, list[int]] = defaultdict(list)
     for i, h in enumerate(anchor):
         alike[h].append(i)
-    chosen = [i for own in alike.values() if len(own) > 1 for i in own]
-    spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for length, places in maximal_repeats([runs[i] for i in chosen], least):
-        for r, o in places:
-            spans[r].append((o, o + length))
-    for r, own in spans.items():
-        out.setdefault(chosen[r], _merge(own))
+    for chosen in _chunks([own for own in alike.values() if len(own) > 1], runs):
+        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for length, places in maximal_repeats([runs[i] for i in chosen], least):
+            for r, o in places:
+                spans[r].append((o, o + length))
+        for r, own in spans.items():
+            out.setdefault(chosen[r], _merge(own))
     return out
 
 
+def _chunks(groups: list[list[int]], runs: list[bytes]) -> Iterator[list[int]]:
+    """The groups strung together to CHUNK_BYTES of runs or just beyond."""
+    chunk, size = [], 0
+    for own in groups:
+        chunk += own
+        size += sum(len(runs[i]) for i in own)
+        if size >= CHUNK_BYTES:
+            yield chunk
+            chunk, size = [], 0
+    if chunk:
+        yield chunk
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept (binary) and the spans.
 
@@ -220,6 +236,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
             blob += np.array([(len(run), len(places)) for _, run, places in own], "<u4").tobytes()
             blob += np.array([k for _, _, places in own for k in places], "<u4").tobytes()
             out.append((g, b, blob, zlib.compress(b"".join(run for _, run, _ in own), 1)))
+        del runs, rows
+        shared.give_back()
         return pa.table({"g": pa.array([x[0] for x in out], pa.int32()), "part": pa.array([x[1] for x in out], pa.int32()), "head": pa.array([x[2] for x in out], pa.binary()), "runs": pa.array([x[3] for x in out], pa.binary())})
 
     def compare(table: pa.Table) -> pa.Table:
@@ -246,11 +264,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
         out = []
         for g, many, own, places in told:
             ends = np.cumsum(many)
-            reply = []
+            reply = array("I")
             for i, e, m in zip(own, ends.tolist(), many.tolist(), strict=True):
                 for a, b in spans.get(i, ()):
-                    reply += [(k, a, b) for k in places[e - m : e].tolist()]
-            out.append((g, np.array(reply, "<u4").tobytes()))
+                    for k in places[e - m : e].tolist():
+                        reply.extend((k, a, b))
+            out.append((g, reply.tobytes()))
+        del index, runs, spans, told
+        shared.give_back()
         return pa.table({"g": pa.array([x[0] for x in out], pa.int32()), "spans": pa.array([x[1] for x in out], pa.binary())})
 
     def finish(key, table: pa.Table, replies: pa.Table) -> pa.Table:

@@ -19,6 +19,7 @@ def test_many_groups_and_buckets(edge, edge_docs, monkeypatch):
     monkeypatch.setattr(ranges, "GROUP_BYTES", 30_000)
     monkeypatch.setattr(ranges, "BUCKET_HASHES", 300)
     monkeypatch.setattr(s, "ARRAY_BYTES", 40_000)
+    monkeypatch.setattr(s, "CHUNK_BYTES", 1_000)
     assert rows_of(s.remove_repeats(edge_docs, with_text=True), *NAMES) == sorted(s.brute(edge), key=repr)
 
 
