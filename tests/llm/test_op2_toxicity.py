@@ -51,3 +51,32 @@ def test_empty_tables(spark, edge_docs, empty_docs):
     machine = toxicity.train(edge_docs, none)
     assert toxicity.score(empty_docs, machine).collect() == []
     assert len({r["score"] for r in toxicity.score(edge_docs, machine).collect()}) == 1
+
+
+def test_an_insult_whose_toxic_rate_alone_is_the_base_rate(spark):
+    """Toxic only beside the group, which alone is harmless; elsewhere slurs make the same share of rows toxic."""
+    docs, labels = [], []
+    for i in range(2500):
+        insult, group = i % 20 == 0, i // 20 % 9 == 0
+        toxic = group if insult else i % 9 == 4
+        words = [f"n{i * k % 97}" for k in range(1, 9)] + ["zork"] * insult + ["folk"] * group + ["slur"] * (toxic and not insult)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    machine = toxicity.train(docs, labels)
+    probes = [(0, "zork and folk"), (1, "zork"), (2, "folk"), (3, "slur"), (4, "")]
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(spark.createDataFrame(probes, "doc_id bigint, text string"), machine).collect()}
+    assert found == {0: 1, 1: 0, 2: 0, 3: 1, 4: 0}
+
+
+def test_a_wholly_toxic_term_of_few_rows_in_a_full_sample():
+    """Six rows of 8,000 hold the term, and nothing else tells them from others."""
+    y = (np.arange(8000) % 10 == 0).astype(float)
+    rare = np.arange(0, 60, 10)
+    row = np.concatenate((np.arange(8000), np.arange(0, 8000), rare))
+    at = np.concatenate((np.zeros(8000, int), 1 + np.arange(8000) % 7, np.full(len(rare), 8)))
+    order = np.argsort(row, kind="stable")
+    machine = toxicity.Machine(np.arange(9))
+    machine.fit(row[order], at[order], y)
+    alone, none = machine.scores(np.array([0]), np.array([8]), 2)
+    assert alone > 0.5 > none
