@@ -188,7 +188,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
     full = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
     members = shared.cut(banded.join(full, "key"))
     compared = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = shared.cut(full_sets(rows.join(compared.hint("merge"), "doc_id", "left_semi"), size))
+    # one row for each id: open_pairs counts the holders of a shingle
+    sets = shared.cut(full_sets(rows.join(compared.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size))
     stars = shared.cut(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     links = shared.cut(linked(sets, stars, percent))
     labels = components(links)

@@ -77,3 +77,26 @@ def test_min_and_max_of_one_permutation_are_unbiased():
     sets = [np.unique(np.append(both, rng.integers(0, 1 << 63, 100).astype(np.uint64))) for _ in range(2)]
     a, b = minhash.signatures(sets)
     assert abs((a == b).mean() - 400 / 600) < 0.15
+
+
+def _variants(seed):
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(400)}" for _ in range(150)]
+    docs = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(0, 150, 15), rng.randrange(4, 7)):
+            words[k] = f"e{rng.randrange(3)}"
+        words[140:] = [f"o{i}x{k}" for k in range(rng.randrange(6))] + words[140:]
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+def test_a_large_group_of_variants_with_repeated_rows(spark):
+    """Repeated rows are no further holders of a shingle: bounds and links are those of single rows."""
+    docs = _variants(1)
+    want = sorted(minhash.brute(docs), key=repr)
+    assert 1 < len({w[2] for w in want}) < 120
+    repeated = [d for d in docs for _ in range(3 if d[0] % 2 else 1)]
+    found = rows_of(minhash.near_groups(frame(spark, repeated), 4), *NAMES)
+    assert sorted(set(found), key=repr) == want and len(found) == len(repeated)
