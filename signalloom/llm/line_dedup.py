@@ -70,7 +70,7 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Add (doc_id, a, b) rows, one for each document and key; returns the keys that are new, as now stored."""
-        counted = self._write(batch.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        counted = self._write(batch.groupBy("a", "b").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")))
         if any(self.levels):
             run = self._write(self.unseen(self.spark.table(counted)))
             self.tallies.append(self._write(self.spark.table(counted).join(self.spark.table(run).select("a", "b").hint("merge"), ["a", "b"], "left_anti")))
@@ -120,12 +120,12 @@ def dedup_lines(
 
     Keys of at least ``least_chars`` code points found in ``least_docs`` documents or more lose their lines in all
     documents but the one of the largest id. Null texts are one empty line. Rows of one doc_id count as one document
-    each and share one fate; rows without an id count, and keep all their lines. Other columns are left out, so names
+    and share one fate; rows without an id do not count, and keep all their lines. Other columns are left out, so names
     may clash. Ties cannot arise: a document holds a key or not.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c) for c in carry))
-    keyed = rows.select("doc_id", F.explode(line_hashes(F.col("text"), least_chars)).alias("h")).select("doc_id", "h.a", "h.b")
+    keyed = rows.select("doc_id", F.explode(line_hashes(F.col("text"), least_chars)).alias("h")).select("doc_id", "h.a", "h.b").distinct()
     at = f"{folder}/lines"
     keyed.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))).write.partitionBy("batch").parquet(at)
     lines = spark.read.schema("doc_id bigint, a bigint, b bigint, batch int").parquet(at)

@@ -74,3 +74,15 @@ def test_runs_are_levelled(spark):
 def test_main_path_has_no_python(spark):
     plan = ld.op9_line_dedup(spark, SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_repeated_rows_count_as_one_document(spark, edge_docs, edge, duck):
+    assert rows_of(run(edge_docs), *NAMES) == brute(edge)
+    line, other = "x" * 50, "y" * 50
+    rows = [(1, line)] * 4 + [(2, line)] + [(None, line)] * 4 + [(i, other) for i in range(3, 8)] * 2
+    found = {(r["doc_id"], r["n_dropped"]) for r in run(frame(spark, rows)).collect()}
+    with duck.cursor() as con:
+        con.execute("CREATE TEMP TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+        want = {(d, bool(n)) for d, n in con.execute(f"SELECT doc_id, n_dropped FROM ({ld.SQL})").fetchall()}
+    assert {(d, bool(n)) for d, n in found} == want and (1, 0) in found and (3, 1) in found
