@@ -21,10 +21,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many others hold as well; a document of which no text stays goes."""
+    """Documents without the lines that many others hold as well; a document of which no text stays is kept, empty."""
     found = line_dedup.dedup_lines(docs, shared.scratch(spark, "line-dedup"), carry=("lang", "source"))
-    kept = found.where((F.col("n_dropped") == 0) | (F.trim("kept") != ""))
-    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("bigint").alias("n_chars"))
+    return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("bigint").alias("n_chars"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

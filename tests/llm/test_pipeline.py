@@ -60,3 +60,10 @@ def test_stages_but_the_last_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
+
+
+def test_line_dedup_keeps_documents_of_which_no_text_stays(spark):
+    line = "x" * 50
+    docs = spark.createDataFrame([(i, f"{line}\n{line}" if i else "other", "en", "s", 101) for i in range(7)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.distinct_lines(spark, docs, SMALL).collect()}
+    assert found == {0: ("other", 5), 6: (f"{line}\n{line}", 101)} | {i: ("", 0) for i in range(1, 6)}
