@@ -86,10 +86,7 @@ class LineRuns:
         while len(self.levels[k]) >= self.fan_out:
             if k + 1 == len(self.levels):
                 self.levels.append([])
-            whole = self.spark.table(self.levels[k][0])
-            for name in self.levels[k][1:]:
-                whole = whole.unionByName(self.spark.table(name))
-            self.levels[k + 1].append(self._write(whole))
+            self.levels[k + 1].append(self._write(self._all(self.levels[k])))
             for name in self.levels[k]:
                 self._drop(name)
             self.levels[k] = []
@@ -98,19 +95,26 @@ class LineRuns:
     def _drop(self, name: str) -> None:
         """The catalog entry and, as the table is external, its files."""
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        shared.remove(self.spark, f"{self.folder}/{name}")
+
+    def close(self) -> None:
+        """Drop all runs and tallies."""
+        for name in [name for level in self.levels for name in level] + self.tallies:
+            self._drop(name)
+        self.levels, self.tallies = [[]], []
 
     def totals(self) -> DataFrame:
-        """a, b, n_docs, last_doc over all batches.
+        """a, b, n_docs, last_doc over all batches."""
+        parts = self._all([name for level in self.levels for name in level] + self.tallies)
+        return parts.groupBy("a", "b").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+
+    def _all(self, names: list[str]) -> DataFrame:
+        """The rows of several tables in one scan of their files.
 
-        Dealt anew by key: Spark takes a union of equally bucketed tables as dealt already, but its columnar form is not.
+        Not as a union of the tables: Spark takes a union of equally bucketed tables as dealt by key, but its columnar form
+        strings their partitions together, so that an aggregate or an exchange above it is left out where it is needed.
         """
-        parts = self.runs() + [self.spark.table(name) for name in self.tallies]
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
-        return whole.repartition("a", "b").groupBy("a", "b").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        return self.spark.read.schema("a bigint, b bigint, n_docs bigint, last_doc bigint").parquet(*(f"{self.folder}/{name}" for name in names))
 
 
 def dedup_lines(
@@ -132,8 +136,10 @@ def dedup_lines(
     runs = LineRuns(spark, f"{folder}/runs")
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).select("doc_id", "a", "b"))
-    common = runs.totals().where(F.col("n_docs") >= least_docs).select("a", "b", "last_doc")
-    lost = lines.select("doc_id", "a", "b").join(common, ["a", "b"]).where(F.col("doc_id") < F.col("last_doc"))
+    common = shared.cut(runs.totals().where(F.col("n_docs") >= least_docs).select("a", "b", "last_doc", "n_docs"))
+    runs.close()
+    total = common.agg(F.sum("n_docs")).first()[0] or 0
+    lost = shared.join_keyed(lines.select("doc_id", "a", "b"), common, ["a", "b"], "n_docs", total).where(F.col("doc_id") < F.col("last_doc"))
     lost = lost.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
     stay = F.filter(lines_of(F.col("text")), lambda line: ~((F.char_length(key_of(line)) >= least_chars) & F.array_contains(F.col("lost"), hash_of(key_of(line)))))
     kept = F.when(F.col("lost").isNull(), lines_of(F.col("text"))).otherwise(stay)

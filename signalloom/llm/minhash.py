@@ -31,6 +31,8 @@ BANDS = PLACES // ROWS
 PERCENT = 80
 #: A shingle that so many of the documents compared hold, or fewer, is rare.
 RARE = 8
+#: Members of a bucket that one task compares with others at a time; larger buckets are split.
+PART = 2000
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -137,6 +139,12 @@ def linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return judged.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def of_like_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are near enough in size to be alike; sizes: (id, n)."""
+    known = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    return known.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+
+
 def open_pairs(sets: DataFrame, classes: DataFrame, left: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of representatives of different labels in ``left`` (key, id, label) that exact bounds do not rule out.
 
@@ -146,29 +154,41 @@ def open_pairs(sets: DataFrame, classes: DataFrame, left: DataFrame, percent: in
     labels = left.select("id", "label").distinct()
     own = sets.withColumnRenamed("doc_id", "id").join(labels.hint("merge"), "id")
     held = shared.cut(own.select("id", "label", F.explode("shingles").alias("s")))
-    rare = shared.cut(held.join(held.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") <= RARE), "s"))
+    few_hold = held.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
+    rare = shared.cut(held.join(few_hold, "s"))
+    shared.drop(held)
     groups = rare.where("n > 1").groupBy("s").agg(F.collect_list(F.struct("id", "label")).alias("m"))
     other = lambda x: F.filter("m", lambda y: (x["id"] < y["id"]) & (x["label"] != y["label"]))
     both = F.flatten(F.transform("m", lambda x: F.transform(other(x), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-    by_rare = groups.select(F.explode(both).alias("p")).select("p.a", "p.b").distinct()
+    by_rare = shared.cut(of_like_size(groups.select(F.explode(both).alias("p")).select("p.a", "p.b").distinct(), classes.select("id", "n"), percent))
 
     counts = rare.groupBy("id").agg(F.count("*").alias("r"))
     bounds = classes.join(labels, "id").join(counts, "id", "left").select("id", "sign", F.col("n").alias("size"), (F.col("n") - F.coalesce("r", F.lit(0))).alias("core"))
-    bounds = bounds.withColumn("most", F.floor(F.col("core") * F.lit(100 + percent) / F.lit(percent) + F.lit(1e-9)) - F.col("size"))
-    rows = left.join(bounds.drop("core", "sign"), "id")
+    bounds = shared.cut(bounds.withColumn("most", F.floor(F.col("core") * F.lit(100 + percent) / F.lit(percent) + F.lit(1e-9)) - F.col("size")))
+    shared.drop(rare)
+    rows = shared.cut(left.join(bounds.drop("core", "sign"), "id"))
     per_label = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("size").alias("lo"), F.max("most").alias("hi"))
-    bucket = per_label.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    rows = shared.cut(rows.join(bucket, "key").where("most >= lo and size <= hi").drop("lo", "hi"))
-    few = rows.where("label <> main")
+    bucket = per_label.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("n"))
+    able = shared.cut(shared.join_keyed(rows, bucket, ["key"], "n", rows.count()).where("most >= lo and size <= hi").drop("lo", "hi"))
+    shared.drop(rows)
+    few = able.where("label <> main")
     extent = few.groupBy("key").agg(F.min("size").alias("lo"), F.max("most").alias("hi"))
-    many = rows.join(extent, "key").where("most >= lo and size <= hi")
+    counted = able.groupBy("key").agg(F.count("*").alias("n")).join(extent, "key").withColumn("parts", F.ceil(F.col("n") / F.lit(PART)).cast("int"))
+    many = shared.join_keyed(able, counted, ["key"], "n", able.count()).where("most >= lo and size <= hi")
+    few = many.where("label <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = many.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     keys = bounds.select("id", band_keys(F.col("sign")).alias("keys"))
-    x = few.join(keys, "id").select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("most").alias("ma"), F.col("keys").alias("ka"))
-    y = many.join(keys, "id").select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("most").alias("mb"), F.col("keys").alias("kb"), (F.col("label") == F.col("main")).alias("first"))
+    x = few.join(keys, "id").select("key", "part", F.col("id").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("most").alias("ma"), F.col("keys").alias("ka"))
+    y = many.join(keys, "id").select(
+        "key", "part", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("most").alias("mb"), F.col("keys").alias("kb"), (F.col("label") == F.col("main")).alias("first")
+    )
     once = F.array_intersect("ka", "kb")[0] == F.col("key")  # a pair counts in the first bucket it shares
     meet = (F.col("la") != F.col("lb")) & (F.col("first") | (F.col("a") < F.col("b"))) & (F.col("na") <= F.col("mb")) & (F.col("nb") <= F.col("ma"))
-    by_size = x.withColumnRenamed("key", "kx").join(y, (F.col("kx") == F.col("key")) & meet & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return by_rare.union(by_size).distinct()
+    x = x.withColumnRenamed("key", "kx").withColumnRenamed("part", "px")
+    by_size = x.join(y, (F.col("kx") == F.col("key")) & (F.col("px") == F.col("part")) & meet & once)
+    found = shared.cut(by_rare.union(by_size.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    shared.drop(by_rare, bounds, able)
+    return found
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -181,27 +201,35 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
     document is dropped here, and columns besides doc_id and text are left out, so names may clash.
     """
     rows = shared.slim(docs, "doc_id", "text")
-    known = shared.cut(signed(rows, size))
-    classes = known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n"))
+    whole = shared.cut(signed(rows, size))
+    known = shared.cut(whole.drop("sign"))
+    classes = whole.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n"))
     classes = shared.cut(classes)
+    shared.drop(whole)
     banded = classes.select("id", F.explode(band_keys(F.col("sign"))).alias("key"))
-    full = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
-    members = shared.cut(banded.join(full, "key"))
+    full = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    members = shared.cut(shared.join_keyed(banded, full, ["key"], "n", BANDS * classes.count()))
     compared = members.select(F.col("id").alias("doc_id")).distinct()
     # one row for each id: open_pairs counts the holders of a shingle
     sets = shared.cut(full_sets(rows.join(compared.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size))
-    stars = shared.cut(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    sizes = classes.select("id", "n")
+    stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    stars = shared.cut(of_like_size(stars, sizes, percent))
     links = shared.cut(linked(sets, stars, percent))
+    shared.drop(stars)
     labels = components(links)
     # components that share a bucket: only these members can hold links not seen so far
-    placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    left = shared.cut(placed.join(mixed, "key"))
+    placed = shared.cut(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")))
+    shared.drop(members, links)
+    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    left = shared.cut(shared.join_keyed(placed, mixed, ["key"], "n", placed.count()))
+    shared.drop(placed)
     if not left.isEmpty():
-        rest = open_pairs(sets, classes, left, percent).join(stars, ["a", "b"], "left_anti")
+        rest = open_pairs(sets, classes, left, percent)
         more = shared.cut(linked(sets, rest, percent))
         if not more.isEmpty():
             labels = extended(labels, more)
+    shared.drop(left, sets)
     grouped = classes.select("digest", F.col("id").alias("class_id")).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     grouped = grouped.select("digest", "class_id", F.coalesce("label", "class_id").alias("component"))
     out = known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(grouped, "digest", "left")

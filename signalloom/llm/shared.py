@@ -5,17 +5,21 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where rows are cut on one machine (tests, bench) that names no shared folder.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or FALLBACK_DIR where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. FALLBACK_DIR serves a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or FALLBACK_DIR).rstrip("/")
 
 
@@ -31,7 +35,44 @@ def cut(df: DataFrame) -> DataFrame:
     """
     at = scratch(df.sparkSession, "cut")
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    found = df.sparkSession.read.schema(df.schema).parquet(at)
+    _cuts[found] = at
+    return found
+
+
+#: Where the rows of a cut lie.
+_cuts: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Delete cuts that nothing reads any more, and let Spark clear shuffle files of finished jobs, which it does when the JVM collects."""
+    for df in cuts:
+        remove(df.sparkSession, _cuts.pop(df))
+    if cuts:
+        cuts[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key held by more than one in so many rows is hot; there are at most so many hot keys.
+HOT_SHARE = 10_000
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, on: list[str], held: str, total: int) -> DataFrame:
+    """``rows`` with the row of ``keyed`` (one for each key) of the same key, without a task that all rows of a hot key meet in.
+
+    ``held`` is the column of ``keyed`` with the number of rows of the key, ``total`` their sum. Keys of more than
+    total / HOT_SHARE rows are broadcast: there are at most HOT_SHARE of them, whatever the size of the table. The others
+    join by key, with at most that share of the rows each. ``held`` itself is left out of the result.
+    """
+    bound = total / HOT_SHARE
+    hot = F.broadcast(keyed.where(F.col(held) > bound).drop(held))
+    rest = keyed.where(F.col(held) <= bound).drop(held)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(rest.hint("merge"), on))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
