@@ -33,9 +33,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lies in benchmark windows."""
+    """Documents without a whole benchmark window, and of which less than a twentieth of the words lies in shorter items."""
     found = decontaminate.search(docs, shared.table(spark, sf_dir, "benchmark"), carry=COLUMNS[1:])
-    return found.where(~decontaminate.contaminated()).select(*COLUMNS)
+    whole = F.exists("spans", lambda s: s["stop"] - s["start"] >= decontaminate.WINDOW)
+    return found.where(~whole & ~decontaminate.contaminated()).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
