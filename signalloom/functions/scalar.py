@@ -26,6 +26,19 @@ def harmonic(a: Column, b: Column, tolerance: float = 0.015) -> Column:
     return F.when(near.between(2, 4) & (F.abs(ratio - near) <= tolerance * near), near).cast("bigint")
 
 
+def carrier_pair(difference: Column, left: Column, right: Column) -> Column:
+    """What two carriers are to each other."""
+    return (
+        F.when(harmonic(left, right).isNotNull(), "harmonic_relationship").when(difference < 0.1, "shared_carrier").when(difference < 0.5, "slight_detuning")
+        .when(difference <= 40, "beat_candidate").otherwise("wide_interval")
+    )
+
+
+def candidate_score(left: Column, right: Column, difference: Column, is_harmonic: Column) -> Column:
+    """Mean magnitude of a candidate, less for unequal sides, for differences outside 0.5 to 40 Hz and for harmonics."""
+    return F.round((left + right) / 2 * (1 - F.abs(left - right)) * F.when(difference.between(0.5, 40), 1.0).otherwise(0.25) * F.when(is_harmonic, 0.1).otherwise(1.0), 4)
+
+
 def label(x: Column) -> Column:
     """Lower-case words joined by underscores; camel case is split; null if nothing is left."""
     split = F.regexp_replace(x, "([a-z0-9])([A-Z])", "$1_$2")

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the shared folder (spark.checkpoint.dir, which only a local master may leave unset)."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir("/tmp/checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint(eager=True)
 
 
@@ -20,13 +24,13 @@ def greedy(pairs: DataFrame, by: list[str], left: str, right: str, order: str) -
     both its sides is taken by the sequential pass as well; taking all of these at once and dropping what they use
     leaves the same problem, smaller. Rounds are checkpointed.
     """
-    rest, taken = _saved(pairs), None
+    rest, taken = saved(pairs), None
     while True:
         first_l = rest.groupBy(*by, left).agg(F.min(order).alias("_fl"))
         first_r = rest.groupBy(*by, right).agg(F.min(order).alias("_fr"))
         won = rest.join(first_l, [*by, left]).join(first_r, [*by, right]).where((F.col(order) == F.col("_fl")) & (F.col(order) == F.col("_fr"))).select(*rest.columns)
-        won = _saved(won)
+        won = saved(won)
         if won.isEmpty():
             return taken if taken is not None else won
         taken = won if taken is None else taken.unionByName(won)
-        rest = _saved(rest.join(won.select(*by, left), [*by, left], "left_anti").join(won.select(*by, right), [*by, right], "left_anti"))
+        rest = saved(rest.join(won.select(*by, left), [*by, left], "left_anti").join(won.select(*by, right), [*by, right], "left_anti"))
