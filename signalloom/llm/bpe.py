@@ -1,10 +1,10 @@
 """Byte-level BPE: per-prefix dynamic programming gives the exact merge result without running merges.
 
-For every prefix of a piece exactly one token can be the last of its encoding. A suffix-link automaton over the
-vocabulary lists, longest first, the tokens that end at each position; the first whose predecessor (the last token of
-the prefix before it) forms a compatible pair is it. Two tokens are compatible if encoding their concatenation leaves
-the border between them alone, which undoing the merges of both sides in order decides. Following the last tokens back
-from the end of the piece emits its ids.
+For every prefix of a piece exactly one token can be the last of its encoding. A suffix automaton of the vocabulary
+follows the piece byte by byte; the tokens that end at a position are those of the states on the suffix links from its
+state, longest first. The first whose predecessor (the last token of the prefix before it) forms a compatible pair is
+the last token. Two tokens are compatible if encoding their concatenation leaves the border between them alone.
+Following the last tokens back from the end of the piece emits its ids.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -26,7 +25,7 @@ from signalloom.llm.decontaminate import runs
 #: The split of byte-level BPE into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Encodings of so many pieces stay in memory, twice over, and so many answers on pairs.
-CACHED_PIECES, CACHED_PAIRS = 100_000, 400_000
+CACHED_PIECES, CACHED_PAIRS = 200_000, 400_000
 
 
 def default_tokenizer() -> str:
@@ -42,6 +41,77 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class SuffixAutomaton:
+    """The suffix automaton of a set of words: its paths from state 0 are the substrings of all words.
+
+    Built over the trie of the words level by level. A word is the longest string of the state that ends it, as no
+    longer one ends at just the same places.
+    """
+
+    def __init__(self, words: dict[bytes, int]):
+        trie: list[dict[int, int]] = [{}]
+        ends: dict[int, int] = {}
+        for text, number in words.items():
+            node = 0
+            for b in text:
+                down = trie[node].get(b)
+                if down is None:
+                    down = trie[node][b] = len(trie)
+                    trie.append({})
+                node = down
+            ends[node] = number
+        self.rows: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        word: dict[int, int] = {}
+        level = [(0, 0)]
+        while level:
+            below = []
+            for node, state in level:
+                for b, down in trie[node].items():
+                    reached = self._extend(state, b)
+                    if down in ends:
+                        word[reached] = ends[down]
+                    below.append((down, reached))
+            level = below
+        #: Words that end where a state's strings do, longest first, as (number, length): all of them, and without its own.
+        self.all: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
+        self.shorter: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
+        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            self.shorter[s] = self.all[self.link[s]]
+            self.all[s] = ((word[s], self.length[s]), *self.shorter[s]) if s in word else self.shorter[s]
+        self.link[0] = 0
+
+    def _state(self, length: int, row: dict[int, int], link: int) -> int:
+        self.rows.append(row)
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.link) - 1
+
+    def _split(self, state: int, b: int, q: int) -> int:
+        """The state of the string one byte longer than ``state``'s longest, which so far shares ``q`` with longer ones."""
+        if self.length[q] == self.length[state] + 1:
+            return q
+        copy = self._state(self.length[state] + 1, dict(self.rows[q]), self.link[q])
+        self.link[q] = copy
+        while state >= 0 and self.rows[state].get(b) == q:
+            self.rows[state][b] = copy
+            state = self.link[state]
+        return copy
+
+    def _extend(self, state: int, b: int) -> int:
+        """The state of ``state``'s longest string and one more byte."""
+        q = self.rows[state].get(b)
+        if q is not None:
+            return self._split(state, b, q)
+        made = self._state(self.length[state] + 1, {}, 0)
+        while state >= 0 and b not in self.rows[state]:
+            self.rows[state][b] = made
+            state = self.link[state]
+        if state >= 0:
+            self.link[made] = self._split(state, b, self.rows[state][b])
+        return made
+
+
 class Encoder(dict):
     """Ids of pieces, by piece; computes what is missing."""
 
@@ -72,10 +142,8 @@ class Encoder(dict):
             rank = made
             self.pair[vocab[a], vocab[b]] = made
             self.left[made], self.right[made] = vocab[a], vocab[b]
-        self.automaton = ahocorasick.Automaton()
-        for i in vocab.values():
-            self.automaton.add_word(self.token[i].decode("latin-1"), (i, len(self.token[i])))
-        self.automaton.make_automaton()
+        self.automaton = SuffixAutomaton({self.token[i]: i for i in vocab.values()})
+        self.lengths = [len(t) for t in self.token]
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.size = size
         self.fits: dict[int, bool] = {}  # by a * size + b
@@ -88,43 +156,60 @@ class Encoder(dict):
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
-        limit = len(self.token) + 1
+        """Whether no merge crosses the border when ``a`` and ``b`` are encoded together.
+
+        Merges happen in order of the ids they make. On the border's left stand, one after the other, the parts of ``a``
+        that end it, each until the merge that makes the next larger one; on its right those that begin ``b``. A pair of
+        parts merges across the border if its merge comes while both stand there. Of equal merges the left one is first:
+        it takes the left part away before the border's, but leaves the right part to it.
+        """
+        never = self.size
+        left, until = a, never
         while True:
-            made = self.pair.get((a, b))
-            if made is not None and made < limit:
-                return False
-            if a > b:
-                limit, a = a, self.right[a]
-                if a == limit:  # a single byte
-                    limit, b = b + 1, self.left[b]
-                    if b + 1 == limit:
-                        return True
-            else:
-                limit, b = b + 1, self.left[b]
-                if b + 1 == limit:
-                    limit, a = a, self.right[a]
-                    if a == limit:
-                        return True
+            right, end = b, never
+            while True:
+                made = self.pair.get((left, right))
+                if made is not None and made < until and made <= end:
+                    return False
+                if self.left[right] == right:
+                    break
+                right, end = self.left[right], right
+            if self.right[left] == left:
+                return True
+            left, until = self.right[left], left
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8").decode("latin-1")
+        data = piece.encode("utf-8")
         n = len(data)
-        last, size = [-1] * (n + 1), [0] * (n + 1)
+        last = [-1] * (n + 1)
+        rows, link, length = self.automaton.rows, self.automaton.link, self.automaton.length
+        every, shorter = self.automaton.all, self.automaton.shorter
         fits, width = self.fits.get, self.size
-        for end, (token, length) in self.automaton.iter(data):
+        state = matched = end = 0
+        row = rows[0]
+        for b in data:
             end += 1
-            if last[end] < 0:
-                start = end - length
-                if start:
-                    before = last[start]
-                    fit = fits(before * width + token)
-                    if not (self.compatible(before, token) if fit is None else fit):
-                        continue
-                last[end], size[end] = token, length
+            while b not in row:
+                state = link[state]
+                matched = length[state]
+                row = rows[state]
+            state = row[b]
+            matched += 1
+            row = rows[state]
+            # a state's longest string counts only if all of it is matched
+            for token, size in every[state] if matched == length[state] else shorter[state]:
+                before = last[end - size]
+                if before < 0:  # the piece begins with the token
+                    last[end] = token
+                    break
+                fit = fits(before * width + token)
+                if fit or fit is None and self.compatible(before, token):
+                    last[end] = token
+                    break
         out = []
         while n:
             out.append(last[n])
-            n -= size[n]
+            n -= self.lengths[last[n]]
         return tuple(reversed(out))
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
