@@ -1 +1 @@
-"""Streaming of the library."""
+"""Streaming forms of the library's windows, runs, linking and sinks."""
