@@ -139,10 +139,9 @@ def linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return judged.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def of_like_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are near enough in size to be alike; sizes: (id, n)."""
-    known = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return known.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+def of_like_size(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of so many shingles are near enough in size to be alike."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def open_pairs(sets: DataFrame, classes: DataFrame, left: DataFrame, percent: int) -> DataFrame:
@@ -153,14 +152,14 @@ def open_pairs(sets: DataFrame, classes: DataFrame, left: DataFrame, percent: in
     """
     labels = left.select("id", "label").distinct()
     own = sets.withColumnRenamed("doc_id", "id").join(labels.hint("merge"), "id")
-    held = shared.cut(own.select("id", "label", F.explode("shingles").alias("s")))
+    held = shared.cut(own.select("id", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("s")))
     few_hold = held.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
     rare = shared.cut(held.join(few_hold, "s"))
     shared.drop(held)
-    groups = rare.where("n > 1").groupBy("s").agg(F.collect_list(F.struct("id", "label")).alias("m"))
-    other = lambda x: F.filter("m", lambda y: (x["id"] < y["id"]) & (x["label"] != y["label"]))
+    groups = rare.where("n > 1").groupBy("s").agg(F.collect_list(F.struct("id", "label", "size")).alias("m"))
+    other = lambda x: F.filter("m", lambda y: (x["id"] < y["id"]) & (x["label"] != y["label"]) & of_like_size(x["size"], y["size"], percent))
     both = F.flatten(F.transform("m", lambda x: F.transform(other(x), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-    by_rare = shared.cut(of_like_size(groups.select(F.explode(both).alias("p")).select("p.a", "p.b").distinct(), classes.select("id", "n"), percent))
+    by_rare = shared.cut(groups.select(F.explode(both).alias("p")).select("p.a", "p.b").distinct())
 
     counts = rare.groupBy("id").agg(F.count("*").alias("r"))
     bounds = classes.join(labels, "id").join(counts, "id", "left").select("id", "sign", F.col("n").alias("size"), (F.col("n") - F.coalesce("r", F.lit(0))).alias("core"))
@@ -206,15 +205,14 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
     classes = whole.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n"))
     classes = shared.cut(classes)
     shared.drop(whole)
-    banded = classes.select("id", F.explode(band_keys(F.col("sign"))).alias("key"))
-    full = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    banded = classes.select("id", F.col("n").alias("size"), F.explode(band_keys(F.col("sign"))).alias("key"))
+    full = banded.groupBy("key").agg(F.min("id").alias("hub"), F.min_by("size", "id").alias("hub_size"), F.count("*").alias("n")).where("n > 1")
     members = shared.cut(shared.join_keyed(banded, full, ["key"], "n", BANDS * classes.count()))
     compared = members.select(F.col("id").alias("doc_id")).distinct()
     # one row for each id: open_pairs counts the holders of a shingle
     sets = shared.cut(full_sets(rows.join(compared.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size))
-    sizes = classes.select("id", "n")
-    stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    stars = shared.cut(of_like_size(stars, sizes, percent))
+    alike = of_like_size(F.col("size"), F.col("hub_size"), percent)
+    stars = shared.cut(members.where("id <> hub").where(alike).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     links = shared.cut(linked(sets, stars, percent))
     shared.drop(stars)
     labels = components(links)
