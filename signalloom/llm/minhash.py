@@ -168,11 +168,13 @@ def open_pairs(sets: DataFrame, classes: DataFrame, left: DataFrame, percent: in
     rows = shared.cut(left.join(bounds.drop("core", "sign"), "id"))
     per_label = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("size").alias("lo"), F.max("most").alias("hi"))
     bucket = per_label.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("n"))
+    bucket = shared.cut(bucket)
     able = shared.cut(shared.join_keyed(rows, bucket, ["key"], "n", rows.count()).where("most >= lo and size <= hi").drop("lo", "hi"))
-    shared.drop(rows)
+    shared.drop(rows, bucket)
     few = able.where("label <> main")
     extent = few.groupBy("key").agg(F.min("size").alias("lo"), F.max("most").alias("hi"))
     counted = able.groupBy("key").agg(F.count("*").alias("n")).join(extent, "key").withColumn("parts", F.ceil(F.col("n") / F.lit(PART)).cast("int"))
+    counted = shared.cut(counted)
     many = shared.join_keyed(able, counted, ["key"], "n", able.count()).where("most >= lo and size <= hi")
     few = many.where("label <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     many = many.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -186,7 +188,7 @@ def open_pairs(sets: DataFrame, classes: DataFrame, left: DataFrame, percent: in
     x = x.withColumnRenamed("key", "kx").withColumnRenamed("part", "px")
     by_size = x.join(y, (F.col("kx") == F.col("key")) & (F.col("px") == F.col("part")) & meet & once)
     found = shared.cut(by_rare.union(by_size.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
-    shared.drop(by_rare, bounds, able)
+    shared.drop(by_rare, bounds, able, counted)
     return found
 
 
@@ -207,7 +209,9 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
     shared.drop(whole)
     banded = classes.select("id", F.col("n").alias("size"), F.explode(band_keys(F.col("sign"))).alias("key"))
     full = banded.groupBy("key").agg(F.min("id").alias("hub"), F.min_by("size", "id").alias("hub_size"), F.count("*").alias("n")).where("n > 1")
+    full = shared.cut(full)
     members = shared.cut(shared.join_keyed(banded, full, ["key"], "n", BANDS * classes.count()))
+    shared.drop(full)
     compared = members.select(F.col("id").alias("doc_id")).distinct()
     # one row for each id: open_pairs counts the holders of a shingle
     sets = shared.cut(full_sets(rows.join(compared.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size))
@@ -220,8 +224,9 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
     placed = shared.cut(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")))
     shared.drop(members, links)
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    mixed = shared.cut(mixed)
     left = shared.cut(shared.join_keyed(placed, mixed, ["key"], "n", placed.count()))
-    shared.drop(placed)
+    shared.drop(placed, mixed)
     if not left.isEmpty():
         rest = open_pairs(sets, classes, left, percent)
         more = shared.cut(linked(sets, rest, percent))

@@ -65,14 +65,18 @@ HOT_SHARE = 10_000
 def join_keyed(rows: DataFrame, keyed: DataFrame, on: list[str], held: str, total: int) -> DataFrame:
     """``rows`` with the row of ``keyed`` (one for each key) of the same key, without a task that all rows of a hot key meet in.
 
-    ``held`` is the column of ``keyed`` with the number of rows of the key, ``total`` their sum. Keys of more than
-    total / HOT_SHARE rows are broadcast: there are at most HOT_SHARE of them, whatever the size of the table. The others
-    join by key, with at most that share of the rows each. ``held`` itself is left out of the result.
+    ``keyed`` is a cut. Its column ``held`` has the number of rows of the key, ``total`` is their sum. Keys of more than
+    total / HOT_SHARE rows are hot: at most HOT_SHARE of them, whatever the size of the table, so that their first
+    columns come to the driver and their rows are broadcast. The other keys join by key, with at most that share of the
+    rows each. ``held`` is left out of the result.
     """
-    bound = total / HOT_SHARE
-    hot = F.broadcast(keyed.where(F.col(held) > bound).drop(held))
-    rest = keyed.where(F.col(held) <= bound).drop(held)
-    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(rest.hint("merge"), on))
+    first = F.col(on[0])
+    hot = sorted({r[0] for r in keyed.where(F.col(held) > total / HOT_SHARE).select(first).collect()})
+    keyed = keyed.drop(held)
+    if not hot:
+        return rows.join(keyed.hint("merge"), on)
+    rest = rows.where(~first.isin(hot)).join(keyed.where(~first.isin(hot)).hint("merge"), on)
+    return rows.where(first.isin(hot)).join(F.broadcast(keyed.where(first.isin(hot))), on).unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
