@@ -87,7 +87,7 @@ def independent(found: DataFrame, by: list[str]) -> DataFrame:
 def gates(found: DataFrame, by: list[str]) -> DataFrame:
     """Rows (by, region, frame, on) of the regions' gates."""
     v = F.split(F.col("gate"), "")
-    return found.select(*by, "region", F.posexplode(F.filter(v, lambda c: c != "")).alias("frame", "v")).select(*by, "region", F.col("frame").cast("bigint").alias("frame"), (F.col("v") == "1").alias("on"))
+    return found.select(*by, "region", F.posexplode(F.filter(v, lambda c: c != "")).alias("_k", "_v")).select(*by, "region", F.col("_k").cast("bigint").alias("frame"), (F.col("_v") == "1").alias("on"))
 
 
 def off_intervals(gate: DataFrame, by: list[str], fps: float, least: float = 0.0) -> DataFrame:
@@ -207,7 +207,7 @@ def frame_loudness(samples: DataFrame, by: list[str], rate: int, fps: float) ->
 
 def gate_alignment(loudness: DataFrame, gate: DataFrame, by: list[str]) -> DataFrame:
     """Correlation of loudness with the gate, and mean loudness on and off, over frames that both have."""
-    j = loudness.join(gate, [*by, "frame"])
+    j = loudness.join(gate.select(*by, "frame", "on"), [*by, "frame"])
     on = F.col("on").cast("double")
     return j.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rms", on).alias("correlation"), F.avg(F.when(F.col("on"), F.col("rms"))).alias("mean_on"), F.avg(F.when(~F.col("on"), F.col("rms"))).alias("mean_off"))
 

@@ -41,7 +41,7 @@ def batch_sessions(events: DataFrame, by: list[str], gap_seconds: int) -> DataFr
 
     w = Window.partitionBy(*by).orderBy("at")
     fresh = F.when(F.unix_micros("at") - F.unix_micros(F.lag("at").over(w)) < gap_seconds * 1_000_000, 0).otherwise(1)
-    rows = events.withColumn("_n", fresh).withColumn("_s", F.sum("_n").over(w.rowsBetween(-(1 << 62), 0)))
+    rows = events.withColumn("_n", fresh).withColumn("_s", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     g = rows.groupBy(*by, "_s").agg(F.min("at").alias("start"), F.max("at").alias("_last"), F.count("*").alias("n"))
     return g.select(*by, "start", F.timestamp_micros(F.unix_micros("_last") + gap_seconds * 1_000_000).alias("stop"), "n")
 
