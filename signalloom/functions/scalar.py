@@ -45,10 +45,11 @@ def label(x: Column) -> Column:
     return F.nullif(F.btrim(F.regexp_replace(F.lower(split), "[^a-z0-9]+", "_"), F.lit("_")), F.lit(""))
 
 
-def slug(x: Column, length: int = 80) -> Column:
-    """A file-name-safe form of at most ``length`` characters and the first 8 digits of the digest of the whole."""
-    safe = F.btrim(F.regexp_replace(x, "[^A-Za-z0-9._-]+", "_"), F.lit("_"))
-    return F.concat(F.substring(safe, 1, length), F.lit("_"), F.substring(F.sha2(x, 256), 1, 8))
+def slug(path: Column, length: int = 80) -> Column:
+    """A readable name of a path: without suffix, in lower case, hyphens for all else, ``length`` characters; and 8 digits of the path's digest."""
+    bare = F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
+    safe = F.btrim(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.concat(F.substring(safe, 1, length), F.lit("-"), F.substring(F.sha2(path, 256), 1, 8))
 
 
 def canonical(*columns: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Agreement of claims with observations: validity, support, comparison by tolerance, roll-up of results."""
+"""Verdicts on claims that have their observation in the same row; ``claims`` joins claims with observations first."""
 
 from __future__ import annotations
 
@@ -6,20 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESULTS = ("invalid", "not_evaluated", "unsupported", "agree", "disagree")
-#: Which comparisons fit which kinds of target.
-FITS = {"scalar": ("exact", "absolute", "relative", "absolute_or_relative"), "interval": ("interval",), "curve": ("curve",)}
-
-
-def valid(kind: Column, comparison: Column, low: Column, high: Column) -> Column:
-    """The comparison fits the kind of target, and an interval is not upside down."""
-    fits = F.lit(False)
-    for k, names in FITS.items():
-        fits = fits | ((kind == k) & comparison.isin(*names))
-    return fits & F.when(kind == "interval", F.coalesce(low <= high, F.lit(False))).otherwise(True)
-
-
-def within_absolute(observed: Column, target: Column, most: float) -> Column:
-    return F.abs(observed - target) <= most
 
 
 def within_relative(observed: Column, target: Column, most: float, floor: float) -> Column:
@@ -27,10 +13,6 @@ def within_relative(observed: Column, target: Column, most: float, floor: float)
     return F.abs(observed - target) / F.greatest(F.abs(target), F.lit(floor)) <= most
 
 
-def within_interval(observed: Column, low: Column, high: Column, margin: float = 0.0) -> Column:
-    return (observed >= low - margin) & (observed <= high + margin)
-
-
 def verdict(is_valid: Column, observed: Column, supported: Column, agrees: Column) -> Column:
     """The result of a claim, in the order of RESULTS."""
     return F.when(~is_valid, "invalid").when(observed.isNull(), "not_evaluated").when(~supported, "unsupported").when(agrees, "agree").otherwise("disagree")
@@ -41,10 +23,3 @@ def rollup(claims: DataFrame, by: list[str]) -> DataFrame:
     yes, no = F.col("result") == "agree", F.col("result").isin("disagree", "invalid")
     label = F.when(F.bool_and(yes), "verified").when(F.bool_or(yes) & ~F.bool_or(no), "partially_verified").otherwise("exploratory")
     return claims.groupBy(*by).agg(F.count("*").alias("n_claims"), F.count_if(yes).alias("n_agree"), label.alias("label"))
-
-
-def curve_errors(points: DataFrame, claim: str, t: str, value: str, t0: str, t1: str, v0: str, v1: str) -> DataFrame:
-    """Largest and root-mean-square error of points against the line from (t0, v0) to (t1, v1) of their claim."""
-    share = F.when(F.col(t1) > F.col(t0), (F.col(t) - F.col(t0)) / F.nullif(F.col(t1) - F.col(t0), F.lit(0.0))).otherwise(0.0)
-    error = F.col(value) - (F.col(v0) + share * (F.col(v1) - F.col(v0)))
-    return points.withColumn("_e", error).groupBy(claim).agg(F.max(F.abs("_e")).alias("max_error"), F.sqrt(F.avg(F.col("_e") ** 2)).alias("rmse"), F.count("*").alias("n_points"))

@@ -48,8 +48,20 @@ def one_hot(df: DataFrame, key: str, column: str, levels: list[str]) -> DataFram
     return df.select(key, *[F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}__{v.lower().replace(' ', '_').replace('#', '')}") for v in levels])
 
 
-def long_vectors(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    return df.select(key, label, F.posexplode(vector).alias("d", "x"))
+def width_of(df: DataFrame, vector: str) -> int:
+    """The one width of all vectors; vectors of different widths are an error."""
+    low, high = df.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if low != high:
+        raise ValueError(f"vectors of {low} and of {high} values")
+    return low or 0
+
+
+def levels_of(df: DataFrame, column: str, most: int = 1_000) -> list[str]:
+    """The values of a column in order, to make columns of; more than ``most`` are an error."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} levels")
+    return sorted(found)
 
 
 def centroids(df: DataFrame, vector: str, label: str, width: int) -> DataFrame:

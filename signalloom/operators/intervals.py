@@ -33,9 +33,10 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], bucket: int,
     """Pairs of half-open intervals of equal keys that overlap, each once; column ``overlap``.
 
     Both sides go out once for each time bucket they touch and meet in an equi-join on key and bucket; a pair counts in
-    the bucket of its later start. Choose ``bucket`` near the usual length: shorter costs copies, longer candidates.
+    the bucket of its later start. Empty intervals overlap nothing. Choose ``bucket`` near the usual length: shorter costs copies, longer candidates.
     """
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.lit(bucket)), F.floor((F.greatest(F.col(b) - 1, F.col(a))) / F.lit(bucket))))
+    left, right = left.where(F.col(l_start) < F.col(l_stop)), right.where(F.col(r_start) < F.col(r_stop))
     pairs = left.withColumn("_b", span(l_start, l_stop)).join(right.withColumn("_b", span(r_start, r_stop)), [*by, "_b"])
     later = F.greatest(l_start, r_start)
     pairs = pairs.where((F.col(l_start) < F.col(r_stop)) & (F.col(r_start) < F.col(l_stop)) & (F.floor(later / F.lit(bucket)) == F.col("_b")))

@@ -19,7 +19,7 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 def regularity(gap: str, tolerance: float = 0.2) -> tuple[Column, Column]:
     """Coefficient of variation of the gaps, and 1 - cv / tolerance within 0 and 1; aggregates."""
-    cv = F.stddev_pop(gap) / F.avg(gap)
+    cv = F.stddev_pop(gap) / F.nullif(F.avg(gap), F.lit(0.0))
     return cv, clip(1 - cv / tolerance, 0.0, 1.0)
 
 

@@ -67,12 +67,6 @@ def detrended(df: DataFrame, by: list[str], order: list[str], value: str, reach:
     return df.withColumn("trend", F.avg(value).over(w)).withColumn("residual", F.col(value) - F.col("trend"))
 
 
-def strict_maxima(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """Rows above both neighbours; the ends of a series are none."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("_l", F.lag(value).over(w)).withColumn("_r", F.lead(value).over(w)).where(f"{value} > _l and {value} > _r").drop("_l", "_r")
-
-
 def top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group, with rank; the order must be total."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -67,10 +67,8 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 @query("SELECT c_custkey, " + ", ".join(f"coalesce((c_mktsegment = '{s}')::INT, 0) AS c_mktsegment__{s.lower()}" for s in SEGMENTS) + " FROM customer")
 def q38_one_hot_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohorts.one_hot(table(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment", SEGMENTS)
-
-
-WIDTH = 64
+    c = table(spark, sf_dir, "customer")
+    return cohorts.one_hot(c, "c_custkey", "c_mktsegment", cohorts.levels_of(c, "c_mktsegment"))
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
@@ -78,7 +76,8 @@ d AS (SELECT a.vec_id, a.label, b.label AS other, sum(pow(list_distance(a.v, b.v
 i AS (SELECT vec_id, label, s / nullif(n - 1, 0) AS intra FROM d WHERE label = other), o AS (SELECT vec_id, min(s / n) AS nearest FROM d WHERE label <> other GROUP BY 1)
 SELECT vec_id, label, round(intra, 5) AS intra, round(nearest, 5) AS nearest, round(CASE WHEN intra IS NULL OR nearest IS NULL OR greatest(intra, nearest) <= 0 THEN 0 ELSE (nearest - intra) / greatest(intra, nearest) END, 5)::DOUBLE AS silhouette FROM i JOIN o USING (vec_id)""")
 def q39_silhouette_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = cohorts.silhouette(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", WIDTH)
+    e = table(spark, sf_dir, "embeddings")
+    s = cohorts.silhouette(e, "vec_id", "embedding", "label", cohorts.width_of(e, "embedding"))
     return s.select("vec_id", "label", *[F.round(c, 5).alias(c) for c in ("intra", "nearest", "silhouette")])
 
 
@@ -88,7 +87,7 @@ SELECT label, vec_id, distance, row_number() OVER (PARTITION BY label ORDER BY d
 def q40_centroid_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three rows nearest to each centroid: representatives are a top-k by their nature."""
     e = table(spark, sf_dir, "embeddings")
-    c = cohorts.centroids(e, "embedding", "label", WIDTH).select("label", "centre")
+    c = cohorts.centroids(e, "embedding", "label", cohorts.width_of(e, "embedding")).select("label", "centre")
     apart = F.zip_with("embedding", "centre", lambda x, m: x.cast("double") - m)
     rows = e.join(F.broadcast(c), "label").withColumn("distance", F.round(F.sqrt(cohorts.dot(apart, apart)), 5))
     return windows.top(rows, ["label"], [F.col("distance"), F.col("vec_id")], 3).select("label", "vec_id", "distance", "rank")

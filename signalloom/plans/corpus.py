@@ -37,10 +37,10 @@ def q26_conflict_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT p_partkey, nullif(trim(regexp_replace(lower(regexp_replace(p_type || ' ' || p_name, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+', '_', 'g'), '_'), '') AS label,
-  substr(trim(regexp_replace(p_name, '[^A-Za-z0-9._-]+', '_', 'g'), '_'), 1, 80) || '_' || substr(sha256(p_name), 1, 8) AS slug FROM part""")
+  substr(trim(regexp_replace(lower(regexp_replace(f, '([^/])\.[^./]*$', '\1')), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80) || '-' || substr(sha256(f), 1, 8) AS slug FROM (SELECT *, p_brand || '/' || p_name || '.wav' AS f FROM part)""")
 def q27_label_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", scalar.label(F.concat_ws(" ", "p_type", "p_name")).alias("label"), scalar.slug(F.col("p_name")).alias("slug"))
+    return p.select("p_partkey", scalar.label(F.concat_ws(" ", "p_type", "p_name")).alias("label"), scalar.slug(F.concat("p_brand", F.lit("/"), "p_name", F.lit(".wav"))).alias("slug"))
 
 
 @query("""WITH v AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part),
@@ -60,9 +60,9 @@ def q29_url_path_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", part("^[a-z]+://([^/]+)", "host"), part("^[a-z]+://[^/]+(/[^?#]*)", "path"), part("([0-9]+)[^0-9]*$", "last_number"))
 
 
-@query("""SELECT event_type, (props->>'k')::BIGINT AS k, count(*)::BIGINT AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL""")
+@query("""SELECT event_type, TRY_CAST(props->>'k' AS BIGINT) AS k, count(*)::BIGINT AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL""")
 def q30_json_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).select("event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"), "value")
+    e = events(spark, sf_dir).select("event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), "value")
     return e.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 

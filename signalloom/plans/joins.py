@@ -64,15 +64,15 @@ def q17_interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir)
 
 
-LOW, HIGH = 1704067200000000, 1704067200000000 + 30 * DAY
-
-
-@query(f"""WITH {MERGED}, g AS (
-  SELECT user_id, coalesce(lag(stop) OVER (PARTITION BY user_id ORDER BY start), {LOW}) AS a, start AS b FROM m
-  UNION ALL SELECT user_id, max(stop), {HIGH} FROM m GROUP BY 1)
-SELECT user_id, greatest(a, {LOW})::BIGINT AS start, least(b, {HIGH})::BIGINT AS stop FROM g WHERE greatest(a, {LOW}) < least(b, {HIGH})""")
+@query(f"""WITH {MERGED}, w AS (SELECT min(t0) // {DAY} * {DAY} AS lo, (max(t0) // {DAY} + 1) * {DAY} AS hi FROM s), g AS (
+  SELECT user_id, coalesce(lag(stop) OVER (PARTITION BY user_id ORDER BY start), lo) AS a, start AS b FROM m, w
+  UNION ALL SELECT user_id, max(stop), any_value(hi) FROM m, w GROUP BY 1)
+SELECT user_id, greatest(a, lo)::BIGINT AS start, least(b, hi)::BIGINT AS stop FROM g, w WHERE greatest(a, lo) < least(b, hi)""")
 def q18_interval_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.complement(_merged(spark, sf_dir), ["user_id"], F.lit(LOW), F.lit(HIGH))
+    """Gaps within the days that the starts of all spans cover."""
+    days = _spans(spark, sf_dir).agg((F.floor(F.min("t0") / DAY) * DAY).alias("_lo"), ((F.floor(F.max("t0") / DAY) + 1) * DAY).alias("_hi"))
+    rows = _merged(spark, sf_dir).join(F.broadcast(days))
+    return intervals.complement(rows, ["user_id", "_lo", "_hi"], F.col("_lo"), F.col("_hi")).drop("_lo", "_hi")
 
 
 @query(f"""WITH {MERGED}, k AS (SELECT *, unnest(range(start // {6 * HOUR}, greatest(stop - 1, start) // {6 * HOUR} + 1)) AS k FROM m),
@@ -85,7 +85,7 @@ def q19_window_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAIRS = f"""{SPANS}, p AS (SELECT a.user_id, a.event_id AS left_id, b.event_id AS right_id, least(a.t1, b.t1) - greatest(a.t0, b.t0) AS overlap,
   (least(a.t1, b.t1) - greatest(a.t0, b.t0)) / least(a.t1 - a.t0, b.t1 - b.t0) AS ratio
-  FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND a.t0 < b.t1 AND b.t0 < a.t1)"""
+  FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND a.t0 < b.t1 AND b.t0 < a.t1 AND a.t0 < a.t1 AND b.t0 < b.t1)"""
 
 
 def _pairs(spark, sf_dir):
@@ -132,17 +132,19 @@ UNION ALL SELECT 'lineitem.key', count(*) FROM (SELECT l_orderkey, l_linenumber
 UNION ALL SELECT 'customer without orders', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def q23_referential_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "lineitem", "part")}
+    known = lambda name, key, flag: t[name].select(F.col(key), F.lit(True).alias(flag)).distinct()
+    lines = t["lineitem"].select("l_orderkey", "l_partkey").join(known("orders", "o_orderkey", "_o"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    lines = lines.join(known("part", "p_partkey", "_p"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    counts = lines.agg(F.count_if(F.col("_o").isNull()).alias("o"), F.count_if(F.col("_p").isNull()).alias("p"))  # both from one scan of the lines
+    rule = lambda name, n: F.struct(F.lit(name).alias("rule"), F.col(n).alias("n"))
+    out = counts.select(F.explode(F.array(rule("lineitem.l_orderkey", "o"), rule("lineitem.l_partkey", "p"))).alias("x")).select("x.*")
     audits = [
         ("orders.o_custkey", t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"), "left_anti")),
-        ("lineitem.l_orderkey", t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")),
-        ("lineitem.l_partkey", t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey"), "left_anti")),
         ("lineitem.key", t["lineitem"].groupBy("l_orderkey", "l_linenumber").count().where("count > 1")),
         ("customer without orders", t["customer"].join(t["orders"], F.col("o_custkey") == F.col("c_custkey"), "left_anti")),
     ]
-    out = None
     for name, rows in audits:
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n")
-        out = one if out is None else out.unionByName(one)
+        out = out.unionByName(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n"))
     return out
 
 

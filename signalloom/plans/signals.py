@@ -123,12 +123,12 @@ def q09_linear_trend_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT event_type, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM events GROUP BY 1),
-s AS (SELECT event_type, (value - lo) / (hi - lo) AS x FROM events JOIN p USING (event_type))
+s AS (SELECT event_type, (value - lo) / nullif(hi - lo, 0) AS x FROM events JOIN p USING (event_type))
 SELECT event_type, round(avg((x >= 0.5)::INT), 6) AS duty, round(avg((x <= 0.15)::INT), 6) AS low, round(avg((x >= 0.85)::INT), 6) AS high FROM s GROUP BY 1""")
 def q10_duty_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     p = e.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("p"))
-    x = (F.col("value") - F.col("p")[0]) / (F.col("p")[1] - F.col("p")[0])
+    x = (F.col("value") - F.col("p")[0]) / F.nullif(F.col("p")[1] - F.col("p")[0], F.lit(0.0))  # no share where the levels do not differ
     share = lambda c, name: F.round(F.avg(c.cast("double")), 6).alias(name)
     return e.join(F.broadcast(p), "event_type").withColumn("x", x).groupBy("event_type").agg(share(F.col("x") >= 0.5, "duty"), share(F.col("x") <= 0.15, "low"), share(F.col("x") >= 0.85, "high"))
 
@@ -158,26 +158,23 @@ def q12_phase_locking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sqrt(c * c + s * s), 6).alias("locking"), F.round(F.atan2(s, c), 4).alias("mean_angle"))
 
 
-BINS = 100
-
-
 @query(f"""WITH h AS (SELECT epoch_us(ts) // {HOUR} AS hour, count(*)::DOUBLE AS n FROM events GROUP BY 1),
 s AS (SELECT min(hour) AS lo, max(hour) - min(hour) + 1 AS size FROM h), m AS (SELECT sum(n) / any_value(size) AS mean FROM h, s),
 x AS (SELECT hour - lo AS i, size, (n - mean) * (0.5 - 0.5 * cos({2 * math.pi!r}::DOUBLE * (hour - lo) / size)) AS y FROM h, s, m),
-f AS (SELECT *, unnest(range(1, {BINS + 1})) AS k FROM x),
+f AS (SELECT *, unnest(range(1, size // 2 + 1)) AS k FROM x),
 p AS (SELECT k, sqrt(pow(sum(y * cos({2 * math.pi!r}::DOUBLE * k * i / size)), 2) + pow(sum(y * sin({2 * math.pi!r}::DOUBLE * k * i / size)), 2)) AS magnitude FROM f GROUP BY k),
 q AS (SELECT k, magnitude, lag(magnitude) OVER (ORDER BY k) AS l, lead(magnitude) OVER (ORDER BY k) AS r, max(magnitude) OVER () AS top FROM p)
 SELECT k::BIGINT AS k, round(magnitude / top, 5) AS magnitude FROM q WHERE magnitude > l AND magnitude > r ORDER BY magnitude DESC, k LIMIT 10""")
 def q13_dft_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten highest peaks of a Hann-weighted Fourier sum of hourly counts: a report of ten rows by its nature."""
+    """The ten highest peaks of a Hann-weighted Fourier sum of hourly counts, over all bins: a report of ten rows by its nature."""
     h = events(spark, sf_dir).groupBy(windows.tumbling("t", HOUR).alias("hour")).agg(F.count("*").cast("double").alias("n"))
     s = h.agg(F.min("hour").alias("lo"), (F.max("hour") - F.min("hour") + 1).alias("size"), F.sum("n").alias("total"))
     i = F.col("hour") - F.col("lo")
     y = (F.col("n") - F.col("total") / F.col("size")) * (0.5 - 0.5 * F.cos(2 * math.pi * i / F.col("size")))
-    x = h.join(F.broadcast(s)).select(i.alias("i"), "size", y.alias("y")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(BINS))))
+    x = h.join(F.broadcast(s)).select(i.alias("i"), "size", y.alias("y")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.floor(F.col("size") / 2))))
     turn = 2 * math.pi * F.col("k") * F.col("i") / F.col("size")
     p = x.groupBy("k").agg(F.sqrt(F.sum(F.col("y") * F.cos(turn)) ** 2 + F.sum(F.col("y") * F.sin(turn)) ** 2).alias("magnitude"))
-    w = Window.orderBy("k")  # BINS rows
+    w = Window.orderBy("k")  # one row for each bin
     q = p.withColumn("l", F.lag("magnitude").over(w)).withColumn("r", F.lead("magnitude").over(w)).withColumn("top", F.max("magnitude").over(Window.partitionBy()))
     q = q.where("magnitude > l and magnitude > r").orderBy(F.desc("magnitude"), "k").limit(10)
     return q.select(F.col("k").cast("bigint").alias("k"), F.round(F.col("magnitude") / F.col("top"), 5).alias("magnitude"))
