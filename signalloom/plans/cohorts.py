@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.operators import agreement, cohorts, stats, windows
+from signalloom.operators import agreement, claims, cohorts, stats, windows
 from signalloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -115,3 +115,39 @@ def q48_claim_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN bool_and(result = 'agree') THEN 'verified' WHEN bool_or(result = 'agree') AND NOT bool_or(result IN ('disagree', 'invalid')) THEN 'partially_verified' ELSE 'exploratory' END AS label FROM v GROUP BY 1""")
 def q49_agreement_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.rollup(_claims(spark, sf_dir), ["o_custkey"])
+
+
+FULL = """o AS (SELECT l_orderkey, sum(l_extendedprice) AS value, least(1.0, count(*) / 4)::DOUBLE AS coverage FROM lineitem GROUP BY 1),
+c AS (SELECT o_orderkey, o_custkey, o_orderkey % 3 <> 0 AS required, o_totalprice AS target, CASE o_orderkey % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'absolute' WHEN 2 THEN 'relative' WHEN 3 THEN 'absolute_or_relative' ELSE 'curve_fit' END AS cmp, value, coverage,
+  abs(value - o_totalprice) AS e FROM orders LEFT JOIN o ON l_orderkey = o_orderkey),
+j AS (SELECT *, CASE WHEN cmp = 'curve_fit' THEN 'invalid_declaration' WHEN value IS NULL OR coverage < 0.5 THEN 'unsupported' WHEN (CASE cmp WHEN 'exact' THEN value = target WHEN 'absolute' THEN e <= 50000
+  WHEN 'relative' THEN e / greatest(abs(target), 1.0) <= 0.5 ELSE e <= 50000 OR e / greatest(abs(target), 1.0) <= 0.5 END) THEN 'agree' ELSE 'disagree' END AS state FROM c)"""
+
+
+def _judged(spark, sf_dir):
+    """A claim on the total of every order, with comparisons of all kinds, against what its lines say."""
+    none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    kinds = F.array(*[F.lit(k) for k in ("exact", "absolute", "relative", "absolute_or_relative", "curve_fit")])
+    number = F.lit(None).cast("double")
+    scope = lambda key: [F.lit("total").alias("evidence_type"), F.concat(F.lit("order "), F.col(key).cast("string")).alias("metric"), F.lit("money").alias("unit"), F.lit("orders").alias("modality"), none.alias("channels"), none.alias("regions")]
+    o = table(spark, sf_dir, "orders")
+    c = o.select(
+        F.col("o_orderkey").alias("claim_id"), "o_custkey", (F.col("o_orderkey") % 3 != 0).alias("required"), *scope("o_orderkey"), *[number.alias(n) for n in ("t0", "t1", "low", "high", "v0", "v1", "margin", "least_confidence")],
+        F.lit("scalar").alias("kind"), F.col("o_totalprice").alias("target"), text.alias("target_text"), F.get(kinds, (F.col("o_orderkey") % 5).cast("int")).alias("comparison"), F.lit(50000.0).alias("most_absolute"),
+        F.lit(0.5).alias("most_relative"), F.lit(1.0).alias("floor"), F.lit(0.5).alias("least_coverage"),
+    )
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("value"), F.least(F.lit(1.0), F.count("*") / 4).alias("coverage"))
+    s = g.select(F.col("l_orderkey").cast("string").alias("observation_id"), *scope("l_orderkey"), number.alias("t0"), number.alias("t1"), F.lit("scalar").alias("kind"), "value", text.alias("value_text"), "coverage", F.lit(1.0).alias("confidence"), none.alias("evidence_ids"))
+    return claims.judged(c, s)
+
+
+@query(f"WITH {FULL} SELECT o_orderkey AS claim_id, state FROM j")
+def q56_claim_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("claim_id", "state")
+
+
+@query(f"""WITH {FULL} SELECT o_custkey, CASE WHEN count(*) FILTER (required) > 0 AND bool_and(state = 'agree') FILTER (required) THEN 'verified'
+  WHEN count(*) FILTER (required AND state = 'agree') > 0 AND count(*) FILTER (required AND state IN ('disagree', 'invalid_declaration')) = 0 THEN 'partially_verified' ELSE 'exploratory' END AS label, count(*)::BIGINT AS n_claims,
+  {", ".join(f"count(*) FILTER (state = '{s}')::BIGINT AS n_{s}" for s in ("agree", "disagree", "unsupported", "not_evaluated", "invalid_declaration"))} FROM j GROUP BY 1""")
+def q57_demo_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims.report(_judged(spark, sf_dir), ["o_custkey"])

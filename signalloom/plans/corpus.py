@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalloom.functions import scalar
+from signalloom.operators import lifecycle
 from signalloom.sources.tables import events, table
 
 QUERIES, SQL = {}, {}
@@ -43,14 +44,15 @@ def q27_label_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", scalar.label(F.concat_ws(" ", "p_type", "p_name")).alias("label"), scalar.slug(F.concat("p_brand", F.lit("/"), "p_name", F.lit(".wav"))).alias("slug"))
 
 
-@query("""WITH v AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part),
-h AS (SELECT word, count(*)::BIGINT AS n_parts FROM (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS word FROM part) JOIN v USING (word) GROUP BY 1)
-SELECT word, n_parts FROM h""")
+@query(r"""WITH n AS (SELECT p_partkey, '_' || trim(regexp_replace(lower(p_brand || ' ' || p_name || ' ' || p_type), '[^a-z0-9]+', '_', 'g'), '_') || '_' AS name FROM part),
+v AS (SELECT DISTINCT trim(regexp_replace(lower(w), '[^a-z0-9]+', '_', 'g'), '_') AS label FROM (SELECT p_name AS w FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part)),
+m AS (SELECT p_partkey, label FROM n JOIN v ON contains(name, '_' || label || '_') WHERE label <> '')
+SELECT p_partkey, label FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.p_partkey = m.p_partkey AND o.label <> m.label AND contains('_' || o.label || '_', '_' || m.label || '_'))""")
 def q28_vocabulary_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    v = p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
-    words = p.select("p_partkey", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))).alias("word"))
-    return words.join(v, "word").groupBy("word").agg(F.count("*").alias("n_parts"))
+    words = p.select(F.explode(F.split("p_name", " ")).alias("w"))
+    v = p.select(F.col("p_name").alias("w")).unionByName(p.select(F.col("p_type").alias("w"))).unionByName(words)
+    return lifecycle.contained_labels(p.select("p_partkey", F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("name")), "p_partkey", "name", v, "w")
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path,
