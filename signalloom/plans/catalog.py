@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("signals", "joins", "corpus", "cohorts", "graphs", "tracks")
+MODULES = ("signals", "joins", "corpus", "cohorts", "graphs", "tracks", "streams")
 
 QUERIES, SQL = {}, {}
 for _name in MODULES:

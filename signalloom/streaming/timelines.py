@@ -17,7 +17,7 @@ from signalloom.sources import sinks
 
 
 def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """Events from a folder of Parquet files as a stream, ``files`` new ones a trigger, with ``at`` as event time."""
+    """Events from Parquet files as a stream, ``files`` new ones a trigger, with ``at`` as event time; a single file needs a pattern as its path."""
     schema = spark.read.parquet(path).schema
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     return raw.withColumn("at", F.col("ts").cast("timestamp"))
