@@ -95,3 +95,12 @@ def test_the_rest_stands_without_the_text_operators(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 30 and not [k for k in q if k[:2] == 'op']; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_empty_intervals_overlap_nothing(spark):
+    """Six spans of no length at sf0.1 once divided 0 by 0."""
+    from signalloom.operators import intervals
+
+    left = spark.createDataFrame([("u", 1, 5, 5), ("u", 2, 0, 10)], "u string, i int, l_start bigint, l_stop bigint")
+    right = spark.createDataFrame([("u", 7, 4, 6), ("u", 8, 5, 5)], "u string, j int, r_start bigint, r_stop bigint")
+    assert [(r["i"], r["j"], r["overlap"]) for r in intervals.overlap_join(left, right, ["u"], 4).collect()] == [(2, 7, 2)]
