@@ -254,6 +254,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
     Nothing is shuffled. ``path`` must exist on every executor, as the installed vocabulary files do. Null texts count
     as empty: no ids, an empty decoded text. Repeated rows give repeated results; other columns are left out.
+    Texts of any length are encoded whole. No two encodings tie: each prefix has one last token.
     """
     path = path or default_tokenizer()
 
@@ -285,4 +286,5 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens and the digests of its ids and of the text they decode to."""
     return encode_documents(shared.table(spark, sf_dir, "documents"))

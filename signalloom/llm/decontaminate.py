@@ -43,11 +43,12 @@ class Tables:
         """The block of words that ends before ``end``."""
         return row[end - 1] if self.span == 1 else (row[end - 2], row[end - 1])
 
-    def add(self, pattern: tuple[bytes, ...], item: str) -> None:
+    def add(self, pattern: tuple[bytes, ...], item: str | None) -> None:
+        """Take in a pattern of an item; one without an id is searched for, but no item of the result."""
         for end in range(self.span, self.length + 1):
             block = self.key(pattern, end)
             self.shift[block] = min(self.shift.get(block, self.far), self.length - end)
-        self.bucket.setdefault(self.key(pattern, self.length), {}).setdefault(pattern, set()).add(item)
+        self.bucket.setdefault(self.key(pattern, self.length), {}).setdefault(pattern, set()).update(() if item is None else (item,))
 
     def search(self, row: list[bytes]) -> Iterator[tuple[int, set[str]]]:
         """Starts of all occurrences, with the items that hold the pattern."""
@@ -60,12 +61,12 @@ class Tables:
                 end += step
                 continue
             found = bucket[block].get(tuple(row[end - length : end]))
-            if found:
+            if found is not None:
                 yield end - length, found
             end += 1
 
 
-def build(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[Tables]:
+def build(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[Tables]:
     """Tables for (item id, text) pairs: one for each pattern length."""
     by: dict[int, Tables] = {}
     for item, text in items:
@@ -110,13 +111,13 @@ def runs(text: pa.Array, limit: int = 4_000_000) -> Iterator[list[str | None]]:
         yield run
 
 
-def item_blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str | None]]]:
+def item_blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """Items in blocks of at most ``limit`` bytes of text (one item at least), streamed through the driver.
 
     The rows arrive a partition at a time; the driver never holds more than a block and a partition.
     """
     block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null")
+    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     for item, text in rows.toLocalIterator():
         n = len((text or "").encode("utf-8", "surrogatepass"))
         if block and size + n > limit:
@@ -137,9 +138,12 @@ def search(
     """One row per document: doc_id, n_words, n_hit, the items that occur (sorted) and the hit spans in words.
 
     No row is shuffled. Each block of items is broadcast by itself, of bounded size; with several blocks a worker holds
-    one at a time. Null texts have no words; null item ids are no items; repeated rows give repeated results; items of
-    one id are joined as one item. ``carry`` names further string or long columns of ``docs`` to pass on.
+    one at a time. Null texts have no words. Benchmark texts without an item id count as hits, but not as items. Repeated
+    rows give repeated results; rows of one item id are one item, each with its own windows. Texts of any length are
+    searched whole. ``carry`` names further columns of ``docs`` to pass on, named as ``shared.Carried`` has it.
     """
+    more = shared.Carried(docs, carry, ("doc_id", "n_words", "n_hit", "items", "spans"))
+    inner, outer = more.inner, more.out  # what workers get
     spark = docs.sparkSession
     context = spark.sparkContext
     sent = [context.broadcast(block) for block in item_blocks(benchmark, block_bytes)]
@@ -162,9 +166,9 @@ def search(
                 names: list[set] = [set() for _ in rows]
                 for k in range(len(sent)):
                     for i, row in enumerate(rows):
-                        more, which = hits(row, tables(k))
-                        if more:
-                            found[i] = merged(found[i] + more)
+                        new, which = hits(row, tables(k))
+                        if new:
+                            found[i] = merged(found[i] + new)
                             names[i] |= which
                 n_words += map(len, rows)
                 spans += found
@@ -177,14 +181,12 @@ def search(
                     pa.array([sorted(i) for i in items], pa.list_(pa.string())),
                     pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                 ]
-                + [batch.column(c) for c in carry],
-                names=["doc_id", "n_words", "n_hit", "items", "spans", *carry],
+                + [batch.column(c) for c in inner],
+                names=["doc_id", "n_words", "n_hit", "items", "spans", *outer],
             )
 
-    kinds = dict(docs.dtypes)
-    more = "".join(f", `{c}` {kinds[c]}" for c in carry)
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c) for c in carry if c != "text"))
-    return source.mapInArrow(shared.tidy(run), SCHEMA + more)
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more.columns)
+    return source.mapInArrow(shared.tidy(run), SCHEMA + more.ddl())
 
 
 def contaminated():
@@ -193,6 +195,7 @@ def contaminated():
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside occurrences of benchmark windows, and the items these are from."""
     found = search(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
@@ -206,7 +209,7 @@ def brute(documents: list[tuple], benchmark: list[tuple], window: int = WINDOW)
     for item, text in benchmark:
         row = words(text)
         k = min(window, len(row))
-        patterns |= {(tuple(row[i : i + k]), str(item)) for i in range(len(row) - k + 1) if row}
+        patterns |= {(tuple(row[i : i + k]), item) for i in range(len(row) - k + 1) if row}
     out = []
     for doc, text in documents:
         row = words(text)
@@ -215,7 +218,7 @@ def brute(documents: list[tuple], benchmark: list[tuple], window: int = WINDOW)
             for i in range(len(row) - len(p) + 1):
                 if tuple(row[i : i + len(p)]) == p:
                     hit |= set(range(i, i + len(p)))
-                    items.add(item)
+                    items |= set() if item is None else {str(item)}
         digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
         out.append((doc, len(row), len(hit), len(items), digest, bool(hit) and 20 * len(hit) >= len(row)))
     return out

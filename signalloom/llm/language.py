@@ -158,8 +158,12 @@ def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ()) -
     """One row per document: doc_id, lang_pred, score, and the ``carry`` columns.
 
     lang_pred is a learned language, or ``und`` with score 0 where the text is null or has no letter, and everywhere if
-    there was nothing to learn from. Only the text decides; repeated rows repeat. Columns not named are left out.
+    there was nothing to learn from. Only the text decides; repeated rows repeat. Columns not named are left out, those
+    that are carried are named as ``shared.Carried`` has it. Texts of any length are read whole, in blocks. Of languages
+    with equal votes the larger sum of margins wins, then the first name.
     """
+    more = shared.Carried(docs, carry, ("doc_id", "lang_pred", "score"))
+    inner, outer = more.inner, more.out  # what workers get
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,16 +178,16 @@ def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ()) -
                     if value and _ANY_LETTER.search(value):
                         found[lo + i] = guess
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *(batch.column(c) for c in carry)],
-                names=["doc_id", "lang_pred", "score", *carry],
+                [batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *(batch.column(c) for c in inner)],
+                names=["doc_id", "lang_pred", "score", *outer],
             )
 
-    kinds = dict(docs.dtypes)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c) for c in carry if c != "text"))
-    return rows.mapInArrow(shared.tidy(run), "doc_id bigint, lang_pred string, score double" + "".join(f", `{c}` {kinds[c]}" for c in carry))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more.columns)
+    return rows.mapInArrow(shared.tidy(run), "doc_id bigint, lang_pred string, score double" + more.ddl())
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those whose crc32 mod 4 is not 2; rows without an id are not held out."""
     docs = shared.table(spark, sf_dir, "documents")
     found = predict(docs, train(docs))
     return found.select("doc_id", F.coalesce(crc("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -125,10 +125,12 @@ def dedup_lines(
     Keys of at least ``least_chars`` code points found in ``least_docs`` documents or more lose their lines in all
     documents but the one of the largest id. Null texts are one empty line. Rows of one doc_id count as one document
     and share one fate; rows without an id do not count, and keep all their lines. Other columns are left out, so names
-    may clash. Ties cannot arise: a document holds a key or not.
+    may clash; carried columns are named as ``shared.Carried`` has it. Ties cannot arise: a document holds a key or not.
+    Texts of any length are split whole.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c) for c in carry))
+    more = shared.Carried(docs, carry, ("doc_id", "n_lines", "n_dropped", "kept"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more.columns)
     keyed = rows.select("doc_id", F.explode(line_hashes(F.col("text"), least_chars)).alias("h")).select("doc_id", "h.a", "h.b").distinct()
     at = f"{folder}/lines"
     keyed.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))).write.partitionBy("batch").parquet(at)
@@ -144,11 +146,12 @@ def dedup_lines(
     stay = F.filter(lines_of(F.col("text")), lambda line: ~((F.char_length(key_of(line)) >= least_chars) & F.array_contains(F.col("lost"), hash_of(key_of(line)))))
     kept = F.when(F.col("lost").isNull(), lines_of(F.col("text"))).otherwise(stay)
     n = F.size(lines_of(F.col("text"))).cast("bigint")
-    found = rows.join(lost, "doc_id", "left").select("doc_id", "text", *carry, n.alias("n_lines"), kept.alias("kept"))
-    return found.select("doc_id", *(c for c in carry), "n_lines", (F.col("n_lines") - F.size("kept")).cast("bigint").alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))
+    found = rows.join(lost, "doc_id", "left").select("doc_id", *more.inner, n.alias("n_lines"), kept.alias("kept"))
+    return found.select("doc_id", *more.renamed(), "n_lines", (F.col("n_lines") - F.size("kept")).cast("bigint").alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, how many of them go and the digest of what stays."""
     found = dedup_lines(shared.table(spark, sf_dir, "documents"), shared.scratch(spark, "line-dedup"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -214,6 +214,7 @@ def attach(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's stored payload, read back from its shard, with digests and features."""
     media = attach(shared.table(spark, sf_dir, "documents"), shared.scratch(spark, "media"))
     return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 

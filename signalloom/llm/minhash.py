@@ -199,7 +199,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
     the smallest id reached over links of at least ``percent`` percent similarity; kept marks the one document of each
     component that stays. Null and wordless texts link with nothing and are their own component. Rows without an id
     link with nothing, have null class and component, and are kept. Rows of one id must be equal; they repeat. No
-    document is dropped here, and columns besides doc_id and text are left out, so names may clash.
+    document is dropped here. Texts of any length are read whole; equal sets tie to the smallest id. Columns besides
+    doc_id and text are left out, so names may clash.
     """
     rows = shared.slim(docs, "doc_id", "text")
     whole = shared.cut(signed(rows, size))
@@ -243,6 +244,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataF
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies, by sets of four-word shingles."""
     found = near_groups(shared.table(spark, sf_dir, "documents"), size=4)
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from signalloom.llm import oracles
 from signalloom.llm.bpe import op3_bpe
 from signalloom.llm.decontaminate import op5_decontaminate
 from signalloom.llm.language import op1_language
@@ -22,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language, op2_toxicity, op3_bpe, op4_media, op5_decontaminate, op6_substring_dedup, op7_token_counts, op8_minhash, op9_line_dedup, op10_suffix_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL} | oracles.SQL

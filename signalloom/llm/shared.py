@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where rows are cut on one machine (tests, bench) that names no shared folder.
@@ -89,6 +89,40 @@ def slim(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.col(n).cast(kind.get(n, "string")).alias(n) for n in names))
 
 
+class Carried:
+    """Columns that an operator passes on beside its own.
+
+    Inside the operator they have names of their own (``inner``), so they clash with none of its columns. In the result
+    a column keeps its name, unless the operator has a column of that name itself (upper and lower case are one): then
+    it is called ``<name>_given``, with further ``_given`` as needed. doc_id is always there and not carried twice; text,
+    which operators read anyway, is not sent twice, and carried as the string they read.
+    """
+
+    def __init__(self, docs: DataFrame, carry: tuple[str, ...], own: tuple[str, ...]):
+        taken, names, out = {n.lower() for n in own}, [], []
+        for name in dict.fromkeys(carry):
+            if name.lower() == "doc_id":
+                continue
+            given = name
+            while given.lower() in taken:
+                given += "_given"
+            taken.add(given.lower())
+            names.append(name)
+            out.append(given)
+        self.inner = ["text" if n.lower() == "text" else f"carried_{i}" for i, n in enumerate(names)]
+        self.out = out
+        self.columns = [F.col(n).alias(i) for n, i in zip(names, self.inner, strict=True) if i != "text"]
+        kinds = dict(docs.select(*self.columns).dtypes)
+        self.types = [kinds.get(i, "string") for i in self.inner]
+
+    def ddl(self) -> str:
+        """The carried part of a schema, each column with a comma before it."""
+        return "".join(f", `{n}` {t}" for n, t in zip(self.out, self.types, strict=True))
+
+    def renamed(self) -> list[Column]:
+        return [F.col(i).alias(n) for i, n in zip(self.inner, self.out, strict=True)]
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function, but what it freed goes back to the machine when a task ends: workers are kept for other stages."""
 

@@ -56,6 +56,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     A word goes if a window that covers it also starts in a document of a smaller id. Null and empty texts, and texts
     shorter than a window, lose nothing. Rows of one doc_id do not count as earlier than each other; rows without an id
     come after all others. An empty table gives an empty result; columns besides doc_id and text are left out.
+    Texts of any length are read whole.
     """
     groups, total = ranges.dealt(docs)
     bits = ranges.bucket_bits(total / 6)
@@ -105,6 +106,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, how many of them repeat a smaller document's windows, and the digest of the rest."""
     return remove_repeats(shared.table(spark, sf_dir, "documents"))
 
 

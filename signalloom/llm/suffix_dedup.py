@@ -314,6 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes, those of repeated 200-byte strings in how many spans, and the digest of the rest."""
     return remove_repeats(shared.table(spark, sf_dir, "documents"))
 
 

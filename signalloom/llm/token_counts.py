@@ -111,7 +111,11 @@ def counter(path: str) -> Counter:
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per document: doc_id, n_tokens. Null and empty texts have none; repeated rows repeat; no shuffle."""
+    """One row per document: doc_id, n_tokens. Null and empty texts have none; repeated rows repeat; no shuffle.
+
+    Texts of any length are counted whole; of segmentations with equal scores the one the tokenizer takes counts. Columns
+    besides doc_id and text are left out.
+    """
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,4 +128,5 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of unigram pieces."""
     return count_tokens(shared.table(spark, sf_dir, "documents"))

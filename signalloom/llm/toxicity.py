@@ -241,6 +241,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """One row per document: doc_id, score, predicted (1 from 0.5 on).
 
     Null and empty texts get the score of no terms; repeated rows repeat; columns besides doc_id and text are left out.
+    Texts of any length are scored whole; equal texts have equal scores.
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -255,6 +256,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learnt from labelled rows whose crc32 mod 5 is not 0; rows without an id are not held out."""
     docs = shared.table(spark, sf_dir, "documents")
     found = score(docs, train(docs, shared.table(spark, sf_dir, "labels")))
     return found.select("doc_id", F.coalesce(crc("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -23,7 +23,7 @@ def items_of(edge):
 def test_edge_cases(spark, edge, edge_docs):
     items = items_of(edge)
     bench = spark.createDataFrame(items, "item_id string, text string")
-    want = sorted(d.brute(edge, [i for i in items if i[0]]), key=repr)
+    want = sorted(d.brute(edge, items), key=repr)
     assert rows_of(digested(d.search(edge_docs, bench)), *NAMES) == want
     assert rows_of(digested(d.search(edge_docs, bench, block_bytes=200)), *NAMES) == want  # many blocks of items
 
@@ -58,6 +58,13 @@ def test_random_words_with_many_ties(spark):
     assert rows_of(digested(found), *NAMES) == sorted(d.brute(docs, items), key=repr)
 
 
+def test_texts_without_item_id_are_searched_but_are_no_items(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, text)], "item_id string, text string")
+    found = d.search(spark.createDataFrame([(1, text), (2, "other")], "doc_id bigint, text string"), bench).collect()
+    assert {(r["doc_id"], r["n_hit"], len(r["items"])) for r in found} == {(1, 20, 0), (2, 0, 0)}
+
+
 def test_empty_tables(spark, edge_docs, empty_docs):
     none = spark.createDataFrame([], "item_id string, text string")
     assert d.search(empty_docs, none).collect() == []
