@@ -9,7 +9,8 @@ What components share a bucket after that could still hold links, and their pair
 bounds leave them open. A pair shares a rare shingle, which RARE or fewer of these documents hold, or it does not. The
 former are listed from the rare shingles, less than RARE for each. The latter have all they share in their cores, the
 shingles that are not rare, so a core bounds how large a partner can be: documents whose bound rules out every other
-component of a bucket leave it, and the rest meet only where both bounds allow.
+component of a bucket leave it, and the rest meet only where both bounds allow and where tallies of the shingles by hash
+class leave enough to share.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BANDS = PLACES // ROWS
 PERCENT = 80
 #: A shingle that so many of the documents compared hold, or fewer, is rare.
 RARE = 8
+#: Hash classes by which the shingles of a set are tallied.
+CLASSES = 128
 #: Members of a bucket that one task compares with others at a time; larger buckets are split.
 PART = 2000
 
@@ -110,7 +113,8 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and the whole set, as an array of 64-bit hashes."""
+    """doc_id, the whole set as an array of 64-bit hashes, and the number of them in each class by their upper bits."""
+    shift = np.uint64(64 - (CLASSES - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,9 +123,11 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                 sets = [s.view(np.int64) for _, s in shingle_sets(part.column("text"), size)]
                 off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 values = pa.array(np.concatenate(sets))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(off), values)], names=["doc_id", "shingles"])
+                tally = [np.bincount((s.view(np.uint64) >> shift).astype(np.int64), minlength=CLASSES) for s in sets]
+                tallies = pa.ListArray.from_arrays(pa.array(np.arange(0, CLASSES * len(sets) + 1, CLASSES, dtype=np.int32)), pa.array(np.concatenate(tally).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(off), values), tallies], names=["doc_id", "shingles", "tally"])
 
-    return docs.select("doc_id", "text").mapInArrow(shared.tidy(run), "doc_id bigint, shingles array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(shared.tidy(run), "doc_id bigint, shingles array<bigint>, tally array<int>")
 
 
 def band_keys(sign: Column) -> Column:
@@ -148,7 +154,8 @@ def open_pairs(sets: DataFrame, classes: DataFrame, left: DataFrame, percent: in
     """Pairs (a, b) of representatives of different labels in ``left`` (key, id, label) that exact bounds do not rule out.
 
     Of s shingles, c of them in the core, at most c are shared with a partner of t shingles, and a link needs at least
-    percent * (s + t) / (100 + percent); so t is c * (100 + percent) / percent - s at most.
+    percent * (s + t) / (100 + percent); so t is c * (100 + percent) / percent - s at most. Two sets share, of the shingles
+    of each hash class, no more than the smaller tally of the two, so the sum of these bounds what they share at all.
     """
     labels = left.select("id", "label").distinct()
     own = sets.withColumnRenamed("doc_id", "id").join(labels.hint("merge"), "id")
@@ -178,15 +185,18 @@ def open_pairs(sets: DataFrame, classes: DataFrame, left: DataFrame, percent: in
     many = shared.join_keyed(able, counted, ["key"], "n", able.count()).where("most >= lo and size <= hi")
     few = many.where("label <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     many = many.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    keys = bounds.select("id", band_keys(F.col("sign")).alias("keys"))
-    x = few.join(keys, "id").select("key", "part", F.col("id").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("most").alias("ma"), F.col("keys").alias("ka"))
+    tallies = sets.select(F.col("doc_id").alias("id"), "tally").hint("merge")
+    keys = bounds.select("id", band_keys(F.col("sign")).alias("keys")).join(tallies, "id")
+    x = few.join(keys, "id").select("key", "part", F.col("id").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("most").alias("ma"), F.col("keys").alias("ka"), F.col("tally").alias("ta"))
     y = many.join(keys, "id").select(
-        "key", "part", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("most").alias("mb"), F.col("keys").alias("kb"), (F.col("label") == F.col("main")).alias("first")
+        "key", "part", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("most").alias("mb"), F.col("keys").alias("kb"), F.col("tally").alias("tb"), (F.col("label") == F.col("main")).alias("first")
     )
     once = F.array_intersect("ka", "kb")[0] == F.col("key")  # a pair counts in the first bucket it shares
     meet = (F.col("la") != F.col("lb")) & (F.col("first") | (F.col("a") < F.col("b"))) & (F.col("na") <= F.col("mb")) & (F.col("nb") <= F.col("ma"))
+    most_shared = F.aggregate(F.zip_with("ta", "tb", lambda m, n: F.least(m, n)), F.lit(0), lambda n, c: n + c)
+    near = (100 + percent) * most_shared >= percent * (F.col("na") + F.col("nb"))
     x = x.withColumnRenamed("key", "kx").withColumnRenamed("part", "px")
-    by_size = x.join(y, (F.col("kx") == F.col("key")) & (F.col("px") == F.col("part")) & meet & once)
+    by_size = x.join(y, (F.col("kx") == F.col("key")) & (F.col("px") == F.col("part")) & meet & once & near)
     found = shared.cut(by_rare.union(by_size.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
     shared.drop(by_rare, bounds, able, counted)
     return found
