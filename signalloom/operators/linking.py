@@ -6,9 +6,11 @@ window, and holds no more than the open tracks of one series. All measures are a
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,57 @@ TRACK_WEIGHTS = {"delta": 1.25, "theta": 1.4, "alpha": 1.35, "beta": 0.85, "gamm
 HYPOTHESIS_WEIGHTS = {"delta": 1.25, "theta": 1.4, "alpha": 1.35, "beta": 0.75}
 
 
+class Free:
+    """Numbers each of which can be taken once. One that is not finite is near nothing.
+
+    Sorted, with links over what was taken: taking n of n numbers costs n log n, as long as few different ones lie at
+    distances that are equal once rounded.
+    """
+
+    def __init__(self, numbers: list[float]):
+        self.index = sorted((k for k, v in enumerate(numbers) if math.isfinite(v)), key=numbers.__getitem__)  # stable: equal ones as given
+        self.sorted = [numbers[k] for k in self.index]
+        n = len(self.sorted)
+        self.up = list(range(n + 1))  # leads to the first free place from here on, n if there is none
+        self.down = list(range(n + 1))  # leads to the last free place before here, plus one; 0 if there is none
+        self.first, self.past = [0] * n, [n] * n  # where the equal numbers of a place begin and end
+        for k in range(1, n):
+            self.first[k] = self.first[k - 1] if self.sorted[k] == self.sorted[k - 1] else k
+        for k in range(n - 2, -1, -1):
+            self.past[k] = self.past[k + 1] if self.sorted[k] == self.sorted[k + 1] else k + 1
+
+    @staticmethod
+    def _end(links: list[int], k: int) -> int:
+        while links[k] != k:
+            links[k] = links[links[k]]
+            k = links[k]
+        return k
+
+    def take(self, wanted: float, most: float) -> int | None:
+        """The index of the nearest free number within ``most``, of equally near ones the first given; it is free no more."""
+        if not math.isfinite(wanted):
+            return None
+        numbers, end, n = self.sorted, self._end, len(self.sorted)
+        middle = bisect_left(numbers, wanted)
+        best, given, place = most, -1, -1
+        k = end(self.up, middle)
+        while k < n and (d := abs(numbers[k] - wanted)) <= best:
+            if given < 0 or d < best or self.index[k] < given:
+                best, given, place = d, self.index[k], k
+            k = end(self.up, self.past[k])
+        k = end(self.down, middle) - 1
+        while k >= 0 and (d := abs(numbers[k] - wanted)) <= best:
+            start = self.first[k]
+            k = end(self.up, start)
+            if given < 0 or d < best or self.index[k] < given:
+                best, given, place = d, self.index[k], k
+            k = end(self.down, start) - 1
+        if given < 0:
+            return None
+        self.up[place], self.down[place + 1] = place + 1, place
+        return given
+
+
 class Linker:
     """Open tracks of one series. A track is open while no more than ``gap`` windows in a row went by without it.
 
@@ -34,19 +87,19 @@ class Linker:
         """The track of each peak of the next window."""
         self.open = [t for t in self.open if index - t[2] - 1 <= self.gap]
         given: list[int | None] = [None] * len(frequencies)
-        free_tracks = list(self.open)
         if self.tracks_first:
+            free = Free(frequencies)
             for t in self.open:
-                near = [(abs(f - t[1]), k) for k, f in enumerate(frequencies) if given[k] is None and abs(f - t[1]) <= self.jump]
-                if near:
-                    k = min(near)[1]
+                k = free.take(t[1], self.jump)
+                if k is not None:
                     given[k] = t[0]
                     t[1], t[2] = frequencies[k], index
         else:
+            free = Free([t[1] for t in self.open])
             for k, f in enumerate(frequencies):
-                near = [(abs(f - t[1]), j) for j, t in enumerate(free_tracks) if abs(f - t[1]) <= self.jump]
-                if near:
-                    t = free_tracks.pop(min(near)[1])
+                j = free.take(f, self.jump)
+                if j is not None:
+                    t = self.open[j]
                     given[k] = t[0]
                     t[1], t[2] = f, index
         for k, f in enumerate(frequencies):
@@ -62,41 +115,54 @@ def linked(peaks: DataFrame, by: list[str], window: str, rank: str, frequency: s
 
     ``rank`` orders the peaks of a window and must be total. Peaks without a frequency, window or rank are left out; an
     empty table gives an empty table. A series is linked by one task, since each window depends on the one before; rows
-    stream through it.
+    stream through it, and it holds one window and the open tracks.
     """
+    names = peaks.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, linker, now = None, None, None
+        held, values = [], []  # rows and frequencies of the window that is not over
+
+        def over() -> list[int]:
+            nonlocal series, linker
+            if linker is None or now[0] != series:
+                series, linker = now[0], Linker(jump, gap, tracks_first)
+            return linker.window(now[1], values)
+
+        def numbered(parts: list[pa.RecordBatch], ids: list[int]) -> Iterator[pa.RecordBatch]:
+            at = 0
+            for part in parts:
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids[at : at + part.num_rows], pa.int64())], [*names, "track_id"])
+                at += part.num_rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        series, linker, held = None, None, []
         for batch in batches:
-            batch = pd.concat([*held, batch], ignore_index=True)
-            held = []
-            keys = list(map(tuple, batch[by].astype(object).where(batch[by].notna(), None).to_numpy()))
-            index = batch[window].tolist()
-            values = batch[frequency].tolist()
+            keys = zip(*[_plain(batch.column(names.index(c))) for c in by], strict=True) if by else [()] * batch.num_rows
+            windows, found = batch.column(names.index(window)).to_pylist(), batch.column(names.index(frequency)).to_pylist()
             ids: list[int] = []
             start = 0
-            for k in range(1, len(batch) + 1):
-                if k == len(batch) or keys[k] != keys[start] or index[k] != index[start]:
-                    if k == len(batch):
-                        break  # the window may go on in the next batch
-                    if keys[start] != series:
-                        series, linker = keys[start], Linker(jump, gap, tracks_first)
-                    ids += linker.window(index[start], values[start:k])
-                    start = k
-            held = [batch.iloc[start:]]
+            for k, here in enumerate(zip(keys, windows, strict=True)):
+                if here != now:
+                    if now is not None:
+                        values += found[start:k]
+                        ids += over()
+                    now, values, start = here, [], k
             if ids:
-                yield batch.iloc[:start].assign(track_id=ids)
-        if held and len(held[0]):
-            rest = held[0]
-            key = tuple(rest[by].astype(object).where(rest[by].notna(), None).to_numpy()[0])
-            if key != series:
-                linker = Linker(jump, gap, tracks_first)
-            yield rest.assign(track_id=linker.window(rest[window].iloc[0], rest[frequency].tolist()))
+                yield from numbered([*held, batch.slice(0, start)], ids)
+                held = []
+            held.append(batch.slice(start))
+            values += found[start:]
+        if now is not None:
+            yield from numbered(held, over())
 
     rows = peaks.where(F.col(frequency).isNotNull() & F.col(window).isNotNull() & F.col(rank).isNotNull())
     rows = rows.repartition(*by).sortWithinPartitions(*by, window, rank)
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", track_id bigint"
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def _plain(column: pa.Array) -> list:
+    """The values, with one and the same object for all that are no number, which are one key."""
+    return [math.nan if isinstance(v, float) and math.isnan(v) else v for v in column.to_pylist()]
 
 
 def _span(window: str, start: str, stop: str) -> list[Column]:

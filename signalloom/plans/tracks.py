@@ -73,7 +73,7 @@ def _peaks(spark, sf_dir):
 
 @query()
 def r01_carrier_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linking.linked(_peaks(spark, sf_dir), ["event_type"], "window_index", "rank", "frequency_hz", 3.0, 2)
+    found = linking.linked(_peaks(spark, sf_dir).drop("difference_hz"), ["event_type"], "window_index", "rank", "frequency_hz", 3.0, 2)
     return linking.carrier_tracks(found, ["event_type"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import numpy as np
 import pandas as pd
@@ -108,6 +109,44 @@ def test_linking_against_a_plain_walk(spark, tracks_first):
     assert got == want and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("tracks_first", [True, False])
+def test_linking_takes_time_in_proportion(tracks_first):
+    """Windows of 20,000 peaks: each against each would be 400 million comparisons a window."""
+    values = np.random.default_rng(5).exponential(50, (4, 20_000)).tolist()
+    linker = linking.Linker(3.0, 2, tracks_first)
+    began = time.process_time()
+    ids = [linker.window(w, own) for w, own in enumerate(values)]
+    assert time.process_time() - began < 20
+    assert all(len(set(own)) == 20_000 for own in ids) and linker.created < 25_000
+
+
+@pytest.mark.parametrize("tracks_first", [True, False])
+def test_linking_takes_what_comparing_all_takes(tracks_first):
+    """Equal numbers, distances that are equal once rounded, numbers that are not finite."""
+    rng = np.random.default_rng(6)
+    pools = [[1, 2, 2.5, 3, 3, 3, 7.5], [1e-20, 2e-20, 3e-17, 1.0, 1.0000000000000002, -1.0, 0.0, 1e308, -1e308], [np.nan, np.inf, -np.inf, 1.0, 2.0, 4.0]]
+    for pool, jump, _ in itertools.product(pools, (0.0, 1.0, 3.0), range(40)):
+        wanted, free = ([float(v) for v in rng.choice(pool, 12)] for _ in range(2))
+        left, want = dict(enumerate(free)), []
+        for x in wanted:
+            near = [(abs(v - x), k) for k, v in left.items() if abs(v - x) <= jump]
+            want.append(min(near)[1] if near else None)
+            left.pop(want[-1], None)
+        pile = linking.Free(free)
+        assert [pile.take(x, jump) for x in wanted] == want
+
+
+def test_a_window_over_many_batches(spark):
+    """Windows and series that begin and end within batches, with keys that are null or no number."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(s, w, k, float(3 * k)) for s in (None, float("nan"), 1.0, 2.0) for w in range(4) for k in range(10 if w % 2 else 3)]
+        found = linking.linked(spark.createDataFrame(rows, "s double, w bigint, k int, f double"), ["s"], "w", "k", "f", 1.0, 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(rows) and all(r["track_id"] == r["k"] for r in found)
+
+
 def test_linking_an_empty_table(spark):
     assert linking.linked(spark.createDataFrame([], "s string, w bigint, k int, f double"), ["s"], "w", "k", "f", 1.0, 2).collect() == []
 
