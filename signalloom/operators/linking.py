@@ -183,14 +183,13 @@ def carrier_tracks(linked_peaks: DataFrame, by: list[str], least: int = 6) -> Da
 
 def protocol_tracks(linked_candidates: DataFrame, by: list[str], least: int = 4) -> DataFrame:
     """One row for each track of candidates: mean difference, stability, confidence, most frequent band (of equal counts the smallest name) and score."""
-    key = [*by, "track_id"]
-    bands = linked_candidates.groupBy(*key, "band").agg(F.count("*").alias("_n")).groupBy(*key).agg(F.min_by("band", F.struct(-F.col("_n"), "band")).alias("band"))
-    g = linked_candidates.groupBy(*key).agg(
+    g = linked_candidates.groupBy(*by, "track_id").agg(
         *_span("window_index", "start_seconds", "end_seconds"), F.avg("difference_hz").alias("average_difference_hz"),
         F.avg("confidence").alias("average_confidence"), (1 / (1 + F.stddev_pop("difference_hz"))).alias("frequency_stability"),
+        F.mode(F.struct("band"), deterministic=True)["band"].alias("band"),
     ).where(F.col("n_windows") >= least)
     score = F.col("average_confidence") * F.col("frequency_stability") * F.least(F.col("n_windows"), F.lit(30)) / 30 * weight(F.col("band"), TRACK_WEIGHTS, 0.5)
-    return g.join(bands, key).withColumn("score", F.round(score, 4))
+    return g.withColumn("score", F.round(score, 4))
 
 
 def weight(band: Column, weights: dict[str, float], other: float) -> Column:
@@ -241,14 +240,30 @@ def intent(difference: Column) -> Column:
 def distinct_hypotheses(rows: DataFrame, by: list[str], order: list[str], value: str, tolerance: float = 0.35) -> DataFrame:
     """Those rows that no better row kept before absorbs: one within ``tolerance`` among those kept of the same group.
 
-    ``order`` must be total, best first. A fold over each group's sorted rows, which are measures of tracks and few.
+    ``order`` must be total, best first. Each group's sorted rows stream through one task, which holds the values kept:
+    they lie more than ``tolerance`` apart. Values that are no finite number are all kept and absorb nothing.
     """
-    item = F.struct(*order, *[c for c in rows.columns if c not in order])
-    near = lambda kept, x: F.exists(kept, lambda y: F.abs(y[value] - x[value]) <= tolerance)
-    one = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
-    empty = F.slice("_rows", 1, 0)
-    kept = F.aggregate("_rows", empty, lambda acc, x: F.when(near(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
-    return one.select(F.explode(kept).alias("_x")).select("_x.*").select(*rows.columns)
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept = None, []
+        for batch in batches:
+            keys = zip(*[_plain(batch.column(names.index(c))) for c in by], strict=True) if by else [()] * batch.num_rows
+            stays = []
+            for key, x in zip(keys, batch.column(names.index(value)).to_pylist(), strict=True):
+                if key != group:
+                    group, kept = key, []
+                if x is None or not math.isfinite(x):
+                    stays.append(True)
+                    continue
+                k = bisect_left(kept, x)
+                stays.append(not any(abs(y - x) <= tolerance for y in kept[max(0, k - 1) : k + 1]))
+                if stays[-1]:
+                    kept.insert(k, x)
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    dealt = rows.repartition(*by) if by else rows.coalesce(1)
+    return dealt.sortWithinPartitions(*by, *order).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes))
 
 
 def sides_paired(left: DataFrame, right: DataFrame, by: list[str], frequency: str, widest: float, least_overlap: float, least_seconds: float = 0.0, narrowest: float = 0.0) -> DataFrame:

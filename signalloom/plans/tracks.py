@@ -82,8 +82,9 @@ def r02_protocol_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks of differences, scored as hypotheses, and of near ones of a band only the best."""
     from signalloom.functions import scalar
 
-    p = _peaks(spark, sf_dir).withColumn("confidence", F.col("magnitude")).withColumn("band", scalar.band(F.col("difference_hz")))
-    t = linking.protocol_tracks(linking.linked(p, ["event_type"], "window_index", "rank", "difference_hz", 3.0, 2), ["event_type"])
+    p = _peaks(spark, sf_dir).drop("frequency_hz").withColumnRenamed("magnitude", "confidence")
+    found = linking.linked(p, ["event_type"], "window_index", "rank", "difference_hz", 3.0, 2)
+    t = linking.protocol_tracks(found.withColumn("band", scalar.band(F.col("difference_hz"))), ["event_type"])
     score = linking.hypothesis_score(F.col("average_confidence"), F.col("frequency_stability"), F.col("duration_seconds"), F.col("average_difference_hz"), F.col("band"))
     t = t.withColumn("hypothesis_score", F.round(score, 4)).withColumn("intent", linking.intent(F.col("average_difference_hz"))).where("hypothesis_score >= 0.005").withColumn("place", -F.col("hypothesis_score"))
     kept = linking.distinct_hypotheses(t.select("event_type", "band", "place", "track_id", "average_difference_hz", "hypothesis_score", "intent", "score"), ["event_type", "band"], ["place", "track_id"], "average_difference_hz")

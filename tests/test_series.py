@@ -157,6 +157,33 @@ def test_hypotheses_near_a_better_one_go(spark):
     assert {r["id"] for r in found.collect()} == {1, 3, 4}
 
 
+def test_many_hypotheses_and_odd_ones(spark):
+    """Against a plain walk; a null or infinite value is kept and absorbs nothing. A fold over 100,000 rows of a group took minutes."""
+    rng = np.random.default_rng(8)
+    made = [("x" if i % 3 else None, -float(s), i, float(h)) for i, (s, h) in enumerate(zip(rng.integers(0, 50, 100_000), rng.exponential(50, 100_000), strict=True))]
+    made += [("x", -99.0, -1, None), ("x", -99.0, -2, float("inf")), ("x", -1.0, -3, float("inf")), ("x", -98.0, -4, float("nan"))]
+    began = time.monotonic()
+    found = linking.distinct_hypotheses(spark.createDataFrame(pd.DataFrame(made, columns=["band", "place", "id", "hz"], dtype=object), "band string, place double, id bigint, hz double"), ["band"], ["place", "id"], "hz")
+    got = {r["id"] for r in found.collect()}
+    assert time.monotonic() - began < 60
+    want, cells = {-1, -2, -3, -4}, {}
+    for b, _, i, hz in sorted(made[:-4], key=lambda r: r[1:3]):
+        near = [y for c in (-1, 0, 1) for y in cells.get((b, int(hz / 0.35) + c), ())]
+        if not any(abs(y - hz) <= 0.35 for y in near):
+            cells.setdefault((b, int(hz / 0.35)), []).append(hz)
+            want.add(i)
+    assert got == want and len(want) > 500
+
+
+def test_bands_of_protocol_tracks(spark):
+    """The most frequent band, of equal counts the smallest name; a series without a name stays."""
+    bands = {0: "bbbaa", 1: "ccaab", 2: ["a", None, None, "b"]}
+    rows = [(None if t == 1 else "s", t, w, float(w), w + 1.0, 2.0, 0.5, b) for t, own in bands.items() for w, b in enumerate(own)]
+    df = spark.createDataFrame(rows, "s string, track_id bigint, window_index bigint, start_seconds double, end_seconds double, difference_hz double, confidence double, band string")
+    got = {r["track_id"]: (r["s"], r["band"]) for r in linking.protocol_tracks(df, ["s"]).collect()}
+    assert got == {0: ("s", "b"), 1: (None, "a"), 2: ("s", None)}
+
+
 def test_label_propagation_against_one_walk_of_the_whole_graph(spark):
     rng = np.random.default_rng(3)
     e = {tuple(sorted(map(int, rng.choice(40, 2, replace=False)))) for _ in range(45)}
