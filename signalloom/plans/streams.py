@@ -53,7 +53,7 @@ def s02_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s03_stream_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily values of each type linked to tracks with state; tests hold it against the batch."""
     day = F.floor(F.col("t") / (24 * HOUR)).cast("bigint")
-    e = events(spark, sf_dir).groupBy("event_type", day.alias("window_index")).agg(F.array_sort(F.collect_list("value")).alias("frequencies"))
+    e = events(spark, sf_dir).groupBy("event_type", day.alias("window_index")).agg(F.sort_array(F.collect_list("value")).alias("frequencies"))
     at = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
     e.write.parquet(at)
     return _ran(spark, timelines.tracks(spark.readStream.schema(e.schema).parquet(at), ["event_type"], 3.0, 2))

@@ -15,6 +15,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from signalloom.operators.linking import Linker
 from signalloom.sources import sinks
 
+#: Rows of linked peaks after which a series gives out what it has, at the end of a window.
+OUT_ROWS = 50_000
+
 
 def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """Events from Parquet files as a stream, ``files`` new ones a trigger, with ``at`` as event time; a single file needs a pattern as its path."""
@@ -59,12 +62,16 @@ def tracks(stream: DataFrame, by: list[str], jump: float, gap: int, tracks_first
         created, ids, freqs, windows = state.get if state.exists else (0, [], [], [])
         linker = Linker(jump, gap, tracks_first, [list(t) for t in zip(ids, freqs, windows, strict=True)], created)
         rows = pd.concat(list(parts), ignore_index=True).sort_values("window_index")
-        out = []
+        names = [*by, "window_index", "frequency_hz", "track_id"]
+        out: list[tuple] = []
         for index, values in zip(rows["window_index"], rows["frequencies"], strict=True):
             values = [float(v) for v in (values if values is not None else [])]
             out += [(*key, int(index), f, t) for f, t in zip(values, linker.window(int(index), values), strict=True)]
+            if len(out) >= OUT_ROWS:
+                yield pd.DataFrame(out, columns=names)
+                out = []
         state.update((linker.created, [t[0] for t in linker.open], [t[1] for t in linker.open], [t[2] for t in linker.open]))
-        yield pd.DataFrame(out, columns=[*by, "window_index", "frequency_hz", "track_id"])
+        yield pd.DataFrame(out, columns=names)
 
     return stream.groupBy(*by).applyInPandasWithState(
         step, f"{keys}, window_index bigint, frequency_hz double, track_id bigint", "created bigint, ids array<bigint>, frequencies array<double>, windows array<bigint>", "append", GroupStateTimeout.NoTimeout

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import random
+import time
 from fractions import Fraction
 
 import pytest
@@ -157,3 +159,18 @@ def test_linking_in_a_stream(spark, tmp_path):
     flat = df.select("s", "window_index", F.posexplode("frequencies").alias("k", "f"))
     want = sorted((r["s"], r["window_index"], r["f"], r["track_id"]) for r in linking.linked(flat, ["s"], "window_index", "k", "f", 1.5, 1).collect())
     assert got == want and len(got) == 72
+
+
+def test_large_windows_in_a_stream(spark, tmp_path):
+    """Windows of 25,000 peaks, given out in parts; each against each would be 625 million comparisons a window."""
+    rng = random.Random(7)
+    rows = [("x", w, sorted(round(rng.expovariate(1 / 50), 2) for _ in range(25_000))) for w in range(5)]
+    df = spark.createDataFrame(rows, "s string, window_index bigint, frequencies array<double>")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    began = time.monotonic()
+    timelines.run_to_end(timelines.tracks(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), ["s"], 3.0, 2), f"{tmp_path}/c", path=f"{tmp_path}/out")
+    assert time.monotonic() - began < 90
+    flat = df.select("s", "window_index", F.posexplode("frequencies").alias("k", "f"))
+    want = linking.linked(flat, ["s"], "window_index", "k", "f", 3.0, 2).select("s", "window_index", "f", "track_id")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == 125_000 and got.exceptAll(want).isEmpty()
