@@ -160,5 +160,6 @@ def context_transitions(edges: DataFrame, source_context: DataFrame, target_acti
     ``source_context``: (source, context), ``target_activity``: (target, activity); both may hold several values of one id.
     """
     e = edges.select("source", "target").distinct()
-    rows = e.join(source_context, "source").join(target_activity, "target")
-    return rows.groupBy("context", "activity").agg(F.count_distinct("source", "target").alias("n"))
+    # distinct on all sides, so that a relation comes once for each context and activity and counting rows is enough
+    rows = e.join(source_context.select("source", "context").distinct(), "source").join(target_activity.select("target", "activity").distinct(), "target")
+    return rows.groupBy("context", "activity").agg(F.count("*").alias("n"))

@@ -25,11 +25,23 @@ EDGES = """l AS (SELECT l_orderkey AS o, l_partkey AS source, lead(l_partkey) OV
 raw AS (SELECT DISTINCT o, source, target, rank FROM l WHERE target IS NOT NULL), d AS (SELECT DISTINCT source, target FROM raw)"""
 
 
-def _edges(spark, sf_dir):
-    """An edge from every ordered item to the next one of its order."""
+#: Rows of lineitem that a task sorts or keeps apart, where the session's number of partitions would give it more.
+TASK_ROWS = 1_000_000
+
+
+def _edges(spark, sf_dir, dealt=True):
+    """An edge from every ordered item to the next one of its order.
+
+    ``dealt``: for large tables, dealt by (source, target), as what follows needs. The number of partitions grows with the
+    table (its rows are counted from the files' footers), so that a task's memory does not.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    parts = lines.count() // TASK_ROWS + 1
+    large = parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("observation_id"), F.col("l_partkey").alias("source"), F.lead("l_partkey").over(w).alias("target"), F.col("l_linenumber").alias("rank"))
-    return e.where("target is not null")
+    e = (lines.repartition(parts, "l_orderkey") if large else lines).select(F.col("l_orderkey").alias("observation_id"), F.col("l_partkey").alias("source"), F.lead("l_partkey").over(w).alias("target"), F.col("l_linenumber").alias("rank"))
+    e = e.where("target is not null")
+    return e.repartition(parts, "source", "target") if large and dealt else e
 
 
 @query(f"""WITH {EDGES} SELECT source, target, count(*)::BIGINT AS n_occurrences, count(DISTINCT o)::BIGINT AS n_observations,

@@ -198,6 +198,27 @@ def test_label_propagation_against_one_walk_of_the_whole_graph(spark):
     assert {r["id"]: r["label"] for r in graph.communities(df).collect()} == {v: min(own) for own in groups.values() for v in own}
 
 
+def test_transitions_count_relations_once(spark):
+    """Repeated relations and repeated or several contexts of an item; only groups of context and activity are counted, no pairs kept."""
+    e = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (2, 3), (None, 3), (2, None)], "source bigint, target bigint")
+    c = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, "x")], "source bigint, context string")
+    t = spark.createDataFrame([(2, "p"), (3, "p"), (3, "p"), (3, None)], "target bigint, activity string")
+    found = graph.context_transitions(e, c, t)
+    assert {tuple(r) for r in found.collect()} == {("x", "p", 3), ("x", None, 2), ("y", "p", 2), ("y", None, 1)}
+    assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_partitions_of_edges_grow_with_the_table(spark, monkeypatch):
+    from conftest import SMALL
+
+    from signalloom.plans import graphs
+
+    few = [sorted(map(tuple, graphs.QUERIES[q](spark, SMALL).collect())) for q in ("q41_edge_aggregate", "q44_context_transitions", "r05_label_propagation")]
+    monkeypatch.setattr(graphs, "TASK_ROWS", 500)
+    assert graphs._edges(spark, SMALL).rdd.getNumPartitions() > 10
+    assert few == [sorted(map(tuple, graphs.QUERIES[q](spark, SMALL).collect())) for q in ("q41_edge_aggregate", "q44_context_transitions", "r05_label_propagation")]
+
+
 def test_modularity_of_two_triangles(spark):
     e = [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)]
     u = graph.topology(spark.createDataFrame(e, "source bigint, target bigint"))
