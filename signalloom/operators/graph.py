@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +86,8 @@ def propagated(ids: list, near: dict, sweeps: int = 100) -> tuple[dict, int]:
             weight: dict = {}
             for u, w in near[v].items():
                 weight[label[u]] = weight.get(label[u], 0) + w
-            best = [name for name, w in weight.items() if w == max(weight.values())]
+            most = max(weight.values(), default=0)
+            best = [name for name, w in weight.items() if w == most]
             if best and label[v] not in best:
                 label[v], moved = min(best), True
         if not moved:
@@ -95,24 +98,50 @@ def propagated(ids: list, near: dict, sweeps: int = 100) -> tuple[dict, int]:
 def communities(undirected: DataFrame, sweeps: int = 100) -> DataFrame:
     """(id, label, sweeps): asynchronous label propagation of each connected component, which is exact, as components do not touch.
 
-    One task holds one component: this rule is sequential within it. Labels become the smallest id of their community.
+    One task holds one component at a time: this rule is sequential within it. Components stream through sorted rows, so
+    that many small ones cost no more than their edges. Labels become the smallest id of their community.
     """
+    from signalloom.operators.matching import saved
+
     kind = dict(undirected.dtypes)["a"]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def labelled(rows: list[tuple]) -> list[tuple]:
         near: dict = {}
-        for a, b, w in zip(part["a"], part["b"], part["weight"], strict=True):
+        for a, b, w in rows:
             near.setdefault(a, {})[b] = w
             near.setdefault(b, {})[a] = w
         label, n = propagated(sorted(near), near, sweeps)
         groups: dict = {}
         for v, name in label.items():
             groups.setdefault(name, []).append(v)
-        rows = [(v, min(own), n) for own in groups.values() for v in own]
-        return pd.DataFrame(rows, columns=["id", "label", "sweeps"])
-
-    c = connected(undirected).select(F.col("id").alias("a"), "component")
-    return undirected.join(c, "a").groupBy("component").applyInPandas(lambda p: run(p), f"id {kind}, label {kind}, sweeps int")
+        return [(v, least, n) for own in groups.values() for least in (min(own),) for v in own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, held, out, id_type = None, [], [], None
+
+        def given() -> pa.RecordBatch:
+            ids, names, n = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(names, id_type), pa.array(n, pa.int32())], ["id", "label", "sweeps"])
+
+        for batch in batches:
+            id_type = batch.schema.field("a").type
+            for c, *row in zip(*[batch.column(k).to_pylist() for k in ("component", "a", "b", "weight")], strict=True):
+                if c != component and held:
+                    out += labelled(held)
+                    held = []
+                component = c
+                held.append(row)
+            if out:
+                yield given()
+                out = []
+        if held:
+            out = labelled(held)
+            yield given()
+
+    edges = saved(undirected.select("a", "b", "weight"))  # read in every round and again at the end
+    c = connected(edges).select(F.col("id").alias("a"), "component")
+    rows = edges.join(c, "a").select("component", "a", "b", "weight").repartition("component").sortWithinPartitions("component", "a", "b")
+    return rows.mapInArrow(run, f"id {kind}, label {kind}, sweeps int")
 
 
 def community_profile(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -198,6 +198,26 @@ def test_label_propagation_against_one_walk_of_the_whole_graph(spark):
     assert {r["id"]: r["label"] for r in graph.communities(df).collect()} == {v: min(own) for own in groups.values() for v in own}
 
 
+def test_many_small_components_and_a_hub(spark):
+    """3,000 components, over many batches, and a node with 4,000 neighbours; a call of pandas for each component took minutes."""
+    e = [(10 * k + i, 10 * k + i + 1, 1 + (k + i) % 2) for k in range(3000) for i in range(4)] + [(10**6, 10**6 + i, 1) for i in range(1, 4001)]
+    df = spark.createDataFrame(pd.DataFrame(e, columns=["a", "b", "weight"]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        found = graph.communities(df)
+        assert "InPandas" not in found._jdf.queryExecution().toString()
+        got = {r["id"]: r["label"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    near: dict = {}
+    for a, b, w in e:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    groups: dict = {}
+    for v, n in graph.propagated(sorted(near), near)[0].items():
+        groups.setdefault(n, []).append(v)
+    assert got == {v: min(own) for own in groups.values() for v in own} and len(got) == 19_001
+
+
 def test_transitions_count_relations_once(spark):
     """Repeated relations and repeated or several contexts of an item; only groups of context and activity are counted, no pairs kept."""
     e = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (2, 3), (None, 3), (2, None)], "source bigint, target bigint")
